@@ -1,0 +1,139 @@
+"""Evaluation pipeline and reports.
+
+``evaluate`` parses both answers (E1, Arrow-batched), joins results to gold by
+question id (J5), scores every item (E2-E7) and attaches forensic labels (E8).
+Reports are single aggregations keyed by model (and language / class / label),
+so each shuffles one row per key per partition after map-side combining.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crease.functions.answers import normalize_answer, parse_answer_list, parse_answer_text
+from crease.operators.compare import score_items
+from crease.operators.forensics import LABELS, complexity_flags, error_labels, rule_flags
+
+REPORT_LANGUAGES = ["English", "Hindi_1", "Hindi_2"]
+BASIC_CLASSES = ["Schema Mismatch", "Row Count Mismatch", "Value Mismatch", "Execution Error"]
+# Rounding for sums of fractional scores and latencies (summation order differs between engines).
+DIGITS = 6
+
+
+def evaluate(gold: DataFrame, results: DataFrame) -> DataFrame:
+    """One scored row per result record that has a gold entry."""
+    g = gold.select("id", F.col("column_names").alias("gold_column_names"),
+                    parse_answer_list("answer").alias("gold_rows"))
+    r = results.withColumn("gen_rows", parse_answer_text("generated_answer"))
+    scored = score_items(r.join(g, "id"))
+    q_text = F.concat(F.coalesce(F.col("question"), F.lit("")), F.lit(" "), F.coalesce(F.col("language"), F.lit("")))
+    return scored.withColumn("forensic_labels",
+                             F.when(F.col("needs_forensics"), error_labels(F.col("generated_sql"), q_text))
+                             .otherwise(F.array().cast("array<string>")))
+
+
+def item_scores(ev: DataFrame) -> DataFrame:
+    return ev.select("model", "id", "language", "executed", "schema_ok", "matches", "score", "failure_class",
+                     F.array_join("forensic_labels", "|").alias("forensic_labels"))
+
+
+def model_summary(ev: DataFrame) -> DataFrame:
+    """One row per model."""
+    n = F.count(F.lit(1))
+    eng = F.col("language") == "English"
+    hin = F.col("language").isin("Hindi_1", "Hindi_2")
+    agg = ev.groupBy("model").agg(
+        n.alias("total_queries"),
+        F.count_if("executed").alias("exec_success"),
+        F.count_if("schema_ok").alias("schema_matches"),
+        F.sum("score").alias("_score"),
+        F.avg("time_taken").alias("_lat"),
+        F.sum(F.when(eng, F.col("score"))).alias("_eng_s"), F.count_if(eng).alias("_eng_n"),
+        F.sum(F.when(hin, F.col("score"))).alias("_hin_s"), F.count_if(hin).alias("_hin_n"))
+    pct = lambda a, b: F.round(F.when(b > 0, F.coalesce(a, F.lit(0.0)) * 100.0 / b).otherwise(0.0), DIGITS)
+    return agg.select(
+        "model", "total_queries", "exec_success", "schema_matches",
+        F.round("_score", DIGITS).alias("data_match_score"),
+        F.round(F.coalesce("_lat", F.lit(0.0)), DIGITS).alias("avg_latency"),
+        pct(F.col("exec_success").cast("double"), F.col("total_queries")).alias("exec_pct"),
+        pct(F.col("schema_matches").cast("double"), F.col("total_queries")).alias("schema_pct"),
+        pct(F.col("_score"), F.col("total_queries")).alias("data_pct"),
+        pct(F.col("_eng_s"), F.col("_eng_n")).alias("english_pct"),
+        pct(F.col("_hin_s"), F.col("_hin_n")).alias("hindi_pct"))
+
+
+def language_breakdown(ev: DataFrame) -> DataFrame:
+    """Per model and report language (other labels count only in totals)."""
+    return (ev.filter(F.col("language").isin(*REPORT_LANGUAGES))
+            .groupBy("model", "language")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if("executed").alias("exec_success"),
+                 F.round(F.sum("score"), DIGITS).alias("data_match_score"),
+                 F.round(F.sum("score") * 100.0 / F.count(F.lit(1)), DIGITS).alias("data_pct")))
+
+
+def failure_counts(ev: DataFrame) -> DataFrame:
+    """Basic failure classes per model."""
+    return (ev.filter(F.col("failure_class").isNotNull())
+            .groupBy("model", "failure_class").agg(F.count(F.lit(1)).alias("n")))
+
+
+def forensic_counts(ev: DataFrame) -> DataFrame:
+    """Label counts and share of failures (denominator max(count - score, 1))."""
+    totals = ev.groupBy("model").agg(
+        F.greatest(F.count(F.lit(1)).cast("double") - F.sum("score"), F.lit(1.0)).alias("failures"))
+    labels = (ev.select("model", F.explode("forensic_labels").alias("label"))
+              .groupBy("model", "label").agg(F.count(F.lit(1)).alias("n")))
+    return (labels.join(totals, "model")
+            .select("model", "label", "n", F.round(F.col("n") * 100.0 / F.col("failures"), DIGITS).alias("share_pct")))
+
+
+def report_lines(summary: DataFrame, failures: DataFrame, forensics: DataFrame) -> DataFrame:
+    """Per-model report text lines (model, line_no, text) for a text sink."""
+    head = summary.select("model", F.posexplode(F.array(
+        F.format_string("MODEL: %s", "model"),
+        F.format_string("Total Queries: %d", "total_queries"),
+        F.format_string("Avg Latency:   %.2fs per query", "avg_latency"),
+        F.format_string("  Execution Success:  %d/%d (%.1f%%)", "exec_success", "total_queries", "exec_pct"),
+        F.format_string("  Schema Compliance:  %d/%d (%.1f%%)", "schema_matches", "total_queries", "schema_pct"),
+        F.format_string("  Data Match Score:   %.1f/%d (%.1f%%)", "data_match_score", "total_queries", "data_pct"),
+    )).alias("line_no", "text"))
+    fail = failures.select("model", F.lit(100).alias("line_no"),
+                           F.format_string("  %-20s: %d", "failure_class", "n").alias("text"))
+    fore = forensics.select("model", F.lit(200).alias("line_no"),
+                            F.format_string("  %-25s: %d (%.1f%% of failures)", "label", "n", "share_pct").alias("text"))
+    return head.unionByName(fail).unionByName(fore)
+
+
+def string_error_analysis(gold: DataFrame, results: DataFrame) -> DataFrame:
+    """Answers compared as normalised text (X9), forensic variant rules."""
+    g = gold.select("id", F.concat(F.lit("["), F.array_join(F.transform("answer", lambda x: F.concat(
+        F.lit('"'), x, F.lit('"'))), ", "), F.lit("]")).alias("gold_answer"))
+    j = results.join(g, "id")
+    ng = normalize_answer("gold_answer")
+    nv = normalize_answer("generated_answer")
+    is_err = (nv != ng) | (nv == F.lit("ERROR_FLAG"))
+    q_text = F.concat(F.coalesce(F.col("question"), F.lit("")), F.lit(" "), F.coalesce(F.col("language"), F.lit("")))
+    flags = rule_flags(F.col("generated_sql"), q_text, variant=True)
+    names = ["hallucination", "legal_ball", "team_mapping", "phase_filter", "aggregation"]
+    e = j.filter(is_err)
+    err_counts = e.groupBy("model").agg(F.count(F.lit(1)).alias("total_errors"),
+                                        *[F.count_if(f).alias(n) for (_, f), n in zip(flags, names)])
+    totals = results.groupBy("model").agg(F.count(F.lit(1)).alias("total_queries"))
+    return totals.join(err_counts, "model", "left").na.fill(0)
+
+
+def complexity_counts(gold: DataFrame) -> DataFrame:
+    """Share of gold queries per complexity class, long format."""
+    q_text = F.concat(F.coalesce(F.col("question_english"), F.lit("")), F.lit(" "),
+                      F.coalesce(F.col("question_hindi_1"), F.lit("")))
+    flags = complexity_flags(F.col("query"), q_text)
+    agg = gold.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(k) for k, c in flags.items()])
+    stacked = agg.select("total", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("complexity_class"), F.col(k).alias("n")) for k in flags])).alias("s"))
+    return stacked.select("s.complexity_class", "s.n",
+                          F.round(F.col("s.n") * 100.0 / F.col("total"), DIGITS).alias("pct"))
+
+
+__all__ = ["evaluate", "item_scores", "model_summary", "language_breakdown", "failure_counts",
+           "forensic_counts", "report_lines", "string_error_analysis", "complexity_counts", "LABELS"]
