@@ -62,3 +62,16 @@ def test_published_report_arithmetic(spark):
                                            F.greatest(F.col("n") - F.col("score"), F.lit(1.0))).alias("calc"))
     for r in got.collect():
         assert r.pct == r.calc
+
+
+def test_dataset_helpers(spark):
+    from pyspark.sql import functions as F
+    from crease.operators import dataset as D
+    df = spark.createDataFrame([("```sql\nSELECT 1\n```", "P.player_name", "question_hindi_1"),
+                                ("SQLQuery: SELECT 2  ", "total_runs", "question_english"),
+                                ("", "x", "question_hindi_2")], "raw string, h string, k string")
+    got = df.select(D.clean_sql(F.col("raw")).alias("c"), D.clean_header(F.col("h")).alias("h"),
+                    D.language_label(F.col("k")).alias("l"), D.needs_repair(D.clean_sql(F.col("raw"))).alias("r"))
+    rows = [tuple(r) for r in got.collect()]
+    assert rows == [("SELECT 1", "Player Name", "Hindi_1", False), ("SELECT 2", "Total Runs", "English", False),
+                    ("", "X", "Hindi_2", True)]
