@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .op02_quality import OP2_SQL, op2_line_first_cleaning
 from .op05_mixing import OP5_SQL, op5_systematic_mix
 from .op07_sharding import op7_rendezvous
 
-QUERIES = {f.__name__: f for f in (op5_systematic_mix, op7_rendezvous)}
-ORACLES = {"op5_systematic_mix": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op2_line_first_cleaning, op5_systematic_mix, op7_rendezvous)}
+ORACLES = {"op2_line_first_cleaning": OP2_SQL, "op5_systematic_mix": OP5_SQL}
