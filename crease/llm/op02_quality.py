@@ -1,6 +1,6 @@
 """Line-first cleaning of documents, then rejection of documents that lose too much.
 
-A line with a word is removed if it does not end like a sentence, has many symbols for its length, is a row of
+A line with a word is removed if no sentence ends in it, if it has many symbols for its length, is a row of
 navigation links, or is a short line of boilerplate. Lines without a word stay. A document is
 rejected if base rules fail (few words, many repeated three-word windows) or if the lines removed hold
 more than ``most_lost`` percent of the characters of its lines.
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import SPLIT, free_name, let, table
 
 SYMBOLS, BARS = "#*$%&|<>", "|»›·•"
-#: What a sentence may end with, before white space.
-SENTENCE_END = r"""[.!?…:;"”'’)\]»][\x20\x09-\x0D]*\z"""
+#: A word that may end a sentence or clause.
+SENTENCE_END = r"""[.!?…:;"”'’)\]»]([\x20\x09-\x0D]|\z)"""
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
                "uses cookies", "enable javascript", "click here", "sign up", "log in", "read more", "share this")
 MOST_SYMBOLS, LEAST_BARS, BOILERPLATE_WORDS, MOST_LOST, LEAST_WORDS, MOST_REPEATED = 5, 3, 30, 30, 50, 50
