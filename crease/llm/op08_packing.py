@@ -109,15 +109,16 @@ def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
 
 
 def knapsack(price: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The dearest pattern that fits into ``room``, and its price; any number of each class."""
+    """The dearest pattern that fits into ``room``, and its price; any number of each class, sizes ascending."""
     best, pick = np.zeros(room + 1), np.full(room + 1, -1)
+    fit = np.searchsorted(size, np.arange(room + 1), side="right")
     for w in range(1, room + 1):
-        best[w], fits = best[w - 1], np.flatnonzero(size <= w)
-        if len(fits):
-            value = best[w - size[fits]] + price[fits]
-            k = int(np.argmax(value))
+        best[w] = best[w - 1]
+        if fit[w]:
+            value = best[w - size[:fit[w]]] + price[:fit[w]]
+            k = value.argmax()
             if value[k] > best[w]:
-                best[w], pick[w] = value[k], fits[k]
+                best[w], pick[w] = value[k], k
     counts, w = np.zeros(len(size)), room
     while w > 0:
         if pick[w] < 0:
@@ -128,11 +129,12 @@ def knapsack(price: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.
     return float(best[room]), counts
 
 
-def solve(size: np.ndarray, need: np.ndarray, room: int, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def solve(size: np.ndarray, need: np.ndarray, room: int, gap: float = 1e-4, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Basic optimal solution of: minimise sum(x), patterns @ x = need, x >= 0. Columns of ``patterns`` are patterns.
 
-    Revised simplex whose entering column is the knapsack's. Each basis covers the need exactly, so stopping
-    after ``rounds`` would cost some padding, never a piece.
+    Revised simplex whose entering column is the knapsack's. The optimum is at least sum(x) / value of the dearest
+    pattern, so it stops within ``gap`` of it. Each basis covers the need exactly: stopping early, also after
+    ``rounds``, costs some padding, never a piece.
     """
     m = len(size)
     basis = np.diag((room // size).astype(float))
@@ -140,7 +142,7 @@ def solve(size: np.ndarray, need: np.ndarray, room: int, rounds: int = 20_000) -
     x = need / np.diag(basis)
     for k in range(rounds):
         value, column = knapsack(inverse.sum(axis=0), size, room)
-        if value <= 1 + 1e-9:
+        if value <= 1 + gap:
             break
         step = inverse @ column
         up = step > 1e-9
