@@ -7,7 +7,14 @@ from .op03_simhash import op3_bit_sliced_simhash
 from .op05_mixing import OP5_SQL, op5_systematic_mix
 from .op07_sharding import op7_rendezvous
 from .op08_packing import op8_cutting_stock
+from .op10_lines import op10_fuzzy_lines
 
-QUERIES = {f.__name__: f for f in (op2_line_first_cleaning, op3_bit_sliced_simhash, op5_systematic_mix, op7_rendezvous,
-                                  op8_cutting_stock)}
+QUERIES = {f.__name__: f for f in (
+    op2_line_first_cleaning,
+    op3_bit_sliced_simhash,
+    op5_systematic_mix,
+    op7_rendezvous,
+    op8_cutting_stock,
+    op10_fuzzy_lines,
+)}
 ORACLES = {"op2_line_first_cleaning": OP2_SQL, "op5_systematic_mix": OP5_SQL}
