@@ -140,7 +140,7 @@ def solve(size: np.ndarray, need: np.ndarray, room: int, gap: float = 1e-4, roun
     basis = np.diag((room // size).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     x = need / np.diag(basis)
-    for k in range(rounds):
+    for _ in range(rounds):
         value, column = knapsack(inverse.sum(axis=0), size, room)
         if value <= 1 + gap:
             break
@@ -151,13 +151,9 @@ def solve(size: np.ndarray, need: np.ndarray, room: int, gap: float = 1e-4, roun
         x = np.maximum(x - ratio[out] * step, 0)
         x[out] = ratio[out] if np.isfinite(ratio[out]) else 0
         basis[:, out] = column
-        if k % 50 == 49:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ need, 0)
-        else:
-            row = inverse[out] / step[out]
-            inverse = inverse - np.outer(step, row)
-            inverse[out] = row
+        row = inverse[out] / step[out]
+        inverse = inverse - np.outer(step, row)
+        inverse[out] = row
     return basis, x
 
 
