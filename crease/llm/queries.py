@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .op02_quality import OP2_SQL, op2_line_first_cleaning
 from .op03_simhash import op3_bit_sliced_simhash
+from .op04_html import op4_host_consensus
 from .op05_mixing import OP5_SQL, op5_systematic_mix
+from .op06_warc import op6_warc_pages
 from .op07_sharding import op7_rendezvous
 from .op08_packing import op8_cutting_stock
 from .op10_lines import op10_fuzzy_lines
@@ -12,7 +14,9 @@ from .op10_lines import op10_fuzzy_lines
 QUERIES = {f.__name__: f for f in (
     op2_line_first_cleaning,
     op3_bit_sliced_simhash,
+    op4_host_consensus,
     op5_systematic_mix,
+    op6_warc_pages,
     op7_rendezvous,
     op8_cutting_stock,
     op10_fuzzy_lines,
