@@ -9,6 +9,7 @@ from .op05_mixing import OP5_SQL, op5_systematic_mix
 from .op06_warc import op6_warc_pages
 from .op07_sharding import op7_rendezvous
 from .op08_packing import op8_cutting_stock
+from .op09_toxicity import op9_subword_softmax
 from .op10_lines import op10_fuzzy_lines
 
 QUERIES = {f.__name__: f for f in (
@@ -19,6 +20,7 @@ QUERIES = {f.__name__: f for f in (
     op6_warc_pages,
     op7_rendezvous,
     op8_cutting_stock,
+    op9_subword_softmax,
     op10_fuzzy_lines,
 )}
 ORACLES = {"op2_line_first_cleaning": OP2_SQL, "op5_systematic_mix": OP5_SQL}
