@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op01_forest import op1_prefix_forest
 from .op02_quality import OP2_SQL, op2_line_first_cleaning
 from .op03_simhash import op3_bit_sliced_simhash
 from .op04_html import op4_host_consensus
@@ -13,6 +14,7 @@ from .op09_toxicity import op9_subword_softmax
 from .op10_lines import op10_fuzzy_lines
 
 QUERIES = {f.__name__: f for f in (
+    op1_prefix_forest,
     op2_line_first_cleaning,
     op3_bit_sliced_simhash,
     op4_host_consensus,
