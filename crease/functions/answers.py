@@ -1,93 +1,73 @@
-"""Answer-cell parsing and normalisation.
+"""Answer parsing, comparison and normalisation.
 
-Result sets are stored as Python-literal text (``"[('V Kohli', 973)]"``). Spark
-has no reader for Python literals, so E1 is the one Arrow-batched pandas
-function in the library: it turns each answer into rows of typed cells
-``struct<kind, text, num>``; everything after that (type classes, tolerant cell
-comparison, greedy matching) is Catalyst expressions.
+Result sets are stored as Python-literal text (``"[('V Kohli', 973)]"``), which Spark cannot read. So
+one Arrow-batched function reads both answers of an item and compares them: only the raw texts are shuffled
+before it and three numbers come out of it.
 """
 
 from __future__ import annotations
 
 import ast
+from bisect import bisect_left, bisect_right
+from collections import defaultdict, namedtuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, StringType, StructField, StructType)
-
-CELL = StructType([
-    StructField("kind", StringType()),   # null | str | num | other
-    StructField("text", StringType()),   # X1: str(value).strip().lower()
-    StructField("num", DoubleType()),    # float(value) when it parses, else NULL
-])
-ROWS = ArrayType(ArrayType(CELL))
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
+#: kind: null, str or value; text as X1 has it; num if the cell reads as a number.
+Cell = namedtuple("Cell", "kind text num")
 # Markers that make an answer string a failed execution.
 FAILURE_MARKERS = ("ERROR", "Time Out")
+FAILED = object()
+COMPARED = StructType([StructField("executed", BooleanType()), StructField("n_gold", IntegerType()),
+                       StructField("n_gen", IntegerType()), StructField("matches", IntegerType())])
+# White space as Python's str.strip() knows it.
+WHITE_SPACE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                       0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def strip(c: Column) -> Column:
+    """``c`` without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _cell(v):
-    if v is None:
-        return {"kind": "null", "text": None, "num": None}
+def _literal(text: str, otherwise):
     try:
-        num = float(v)
-    except (TypeError, ValueError):
-        num = None
-    if isinstance(v, str):
-        kind = "str"
-    elif isinstance(v, (int, float)) and not isinstance(v, bool):
-        kind = "num"
-    else:
-        kind = "other"
-    return {"kind": kind, "text": str(v).strip().lower(), "num": num}
-
-
-def _row(item):
-    if isinstance(item, str):
-        try:
-            val = ast.literal_eval(item)
-            if not isinstance(val, (list, tuple)):
-                val = [val]
-            return [_cell(x) for x in val]
-        except Exception:  # noqa: BLE001 - any unparsable text is one text cell
-            return [_cell(item)]
-    if isinstance(item, (list, tuple)):
-        return [_cell(x) for x in item]
-    return [_cell(item)]
-
-
-def parse_answer_value(value):
-    """E1 on one Python value: NULL -> []; failed/unparsable string -> None;
-    list -> rows; any other value -> []."""
+        return ast.literal_eval(text)
+    except Exception:  # noqa: BLE001 - the reader raises many kinds on arbitrary text
+        return otherwise
+
+
+def to_cell(value) -> Cell:
     if value is None:
-        return []
-    if isinstance(value, str):
-        if any(m in value for m in FAILURE_MARKERS):
-            return None
-        try:
-            value = ast.literal_eval(value)
-        except Exception:  # noqa: BLE001
-            return None
-    if isinstance(value, list):
-        return [_row(item) for item in value]
-    return []
-
-
-@F.pandas_udf(ROWS)
-def parse_answer_text(s: pd.Series) -> pd.Series:
-    """E1 for answers stored as one string."""
-    return s.map(lambda v: parse_answer_value(None if v is None or (isinstance(v, float) and pd.isna(v)) else v))
-
-
-@F.pandas_udf(ROWS)
-def parse_answer_list(s: pd.Series) -> pd.Series:
-    """E1 for answers stored as a list of strings (one per result line)."""
-    def one(v):
-        if v is None or (isinstance(v, float) and pd.isna(v)):
-            return []
-        return parse_answer_value(list(v))
-    return s.map(one)
+        return Cell("null", None, None)
+    try:
+        num = float(value)
+    except (TypeError, ValueError, OverflowError):
+        num = None
+    return Cell("str" if isinstance(value, str) else "value", str(value).strip().lower(), num)
+
+
+def answer_rows(answer) -> list[list[Cell]] | None:
+    """The rows of an answer, None if it failed.
+
+    A text with a failure marker, or that is no literal, failed. What is no list has no rows. An item of a list is a
+    row; a text item is read as a literal if it is one; what is no sequence is a row of one cell.
+    """
+    if isinstance(answer, str):
+        answer = FAILED if any(m in answer for m in FAILURE_MARKERS) else _literal(answer, FAILED)
+    if answer is FAILED:
+        return None
+    items = answer if isinstance(answer, list) else ()
+    values = (_literal(x, x) if isinstance(x, str) else x for x in items)
+    return [[to_cell(c) for c in (v if isinstance(v, (list, tuple)) else (v,))] for v in values]
 
 
 # --- X8: column-type classes ----------------------------------------------
@@ -116,17 +96,125 @@ def column_type(name: Column) -> Column:
     return expr.otherwise(F.lit(DEFAULT_TYPE))
 
 
-def cell_match(g: Column, v: Column, ctype: Column) -> Column:
-    """NULLs equal only each other; STRING class or a string gold cell
-    compares cleaned text; numbers compare within the tolerance (inclusive);
-    a cell that is not a number falls back to cleaned text."""
-    g_null = g["kind"] == "null"
-    v_null = v["kind"] == "null"
-    both_num = g["num"].isNotNull() & v["num"].isNotNull()
-    return (F.when(g_null | v_null, g_null & v_null)
-            .when((ctype == "STRING") | (g["kind"] == "str"), g["text"] == v["text"])
-            .when(both_num, F.abs(g["num"] - v["num"]) <= F.lit(TOLERANCE))
-            .otherwise(g["text"] == v["text"]))
+def cell_match(gold: Cell, gen: Cell, kind: str) -> bool:
+    """NULLs equal only each other; STRING class or a string gold cell compares cleaned text; numbers
+    compare within the tolerance (inclusive); a cell that is no number falls back to cleaned text."""
+    if "null" in (gold.kind, gen.kind):
+        return gold.kind == gen.kind
+    if kind == "STRING" or gold.kind == "str" or gold.num is None or gen.num is None:
+        return gold.text == gen.text
+    return abs(gold.num - gen.num) <= TOLERANCE
+
+
+class _FirstOf:
+    """Smallest row number in a range of positions, with removal, in logarithmic time."""
+
+    def __init__(self, rows: list[int]):
+        self.n = len(rows)
+        self.none = max(rows, default=0) + 1
+        self.tree = [self.none] * self.n + rows
+        for i in range(self.n - 1, 0, -1):
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def put(self, at: int, row: int) -> None:
+        at += self.n
+        self.tree[at] = row
+        while at > 1:
+            at //= 2
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def first(self, low: int, high: int) -> int | None:
+        best, low, high = self.none, low + self.n, high + self.n
+        while low < high:
+            if low & 1:
+                best, low = min(best, self.tree[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, self.tree[high])
+            low, high = low // 2, high // 2
+        return None if best == self.none else best
+
+
+class _Bucket:
+    """Generated rows that agree in width, NULLs and STRING cells, found by the cell of one further column."""
+
+    def __init__(self, gen: list[list[Cell]], rows: list[int], column: int | None):
+        self.column = column
+        key = (lambda i: 0.0) if column is None else (lambda i: gen[i][column].num)
+        # Rows without a number (or with one that is not equal to itself) can only match by text.
+        numbered = sorted((k, i) for i in rows if (k := key(i)) is not None and k == k)
+        self.nums, order = [k for k, _ in numbered], [i for _, i in numbered]
+        self.at, self.by_num = {i: p for p, i in enumerate(order)}, _FirstOf(order)
+        self.by_text = defaultdict(list)
+        if column is not None:
+            for i in rows:
+                self.by_text[gen[i][column].text].append(i)
+
+    def take(self, row: list[Cell], fits, used: list[bool]) -> bool:
+        cell = None if self.column is None else row[self.column]
+        if cell is not None and (cell.kind == "str" or cell.num is None):
+            found = next((i for i in self.by_text.get(cell.text, ()) if not used[i] and fits(i)), None)
+        else:
+            span = (0, len(self.nums)) if cell is None else (
+                bisect_left(self.nums, cell.num - TOLERANCE - 1), bisect_right(self.nums, cell.num + TOLERANCE + 1))
+            tried = []
+            while (found := self.by_num.first(*span)) is not None and not fits(found):
+                tried.append(found)
+                self.by_num.put(self.at[found], self.by_num.none)
+            for i in tried:
+                self.by_num.put(self.at[i], i)
+            if cell is not None:
+                # A number written so that it does not read as one may still have the same text.
+                other = next((i for i in self.by_text.get(cell.text, ()) if i not in self.at and not used[i] and fits(i)), None)
+                found = min((i for i in (found, other) if i is not None), default=None)
+        if found is None:
+            return False
+        used[found] = True
+        if found in self.at:
+            self.by_num.put(self.at[found], self.by_num.none)
+        return True
+
+
+def greedy_matches(gold: list[list[Cell]], gen: list[list[Cell]], types: list[str]) -> int:
+    """E5: gold rows in order, each taking the first unused generated row of equal width whose cells all match.
+
+    It is not a maximum matching: the tolerance is not transitive, so the order decides.
+    """
+    kind = lambda c: types[c] if c < len(types) else DEFAULT_TYPE
+
+    def key(row):
+        return tuple((x.kind == "null", x.text if kind(c) == "STRING" else None) for c, x in enumerate(row))
+
+    groups = defaultdict(list)
+    for i, row in enumerate(gen):
+        groups[key(row)].append(i)
+    buckets, used, n = {}, [False] * len(gen), 0
+    for row in gold:
+        k = key(row)
+        if k not in groups:
+            continue
+        if k not in buckets:
+            free = [c for c, (null, text) in enumerate(k) if not null and text is None]
+            # The column with the most different texts leaves the fewest rows to try.
+            column = max(free, key=lambda c: len({gen[i][c].text for i in groups[k]}), default=None)
+            buckets[k] = _Bucket(gen, groups[k], column)
+        n += buckets[k].take(row, lambda i: all(cell_match(g, v, kind(c)) for c, (g, v) in enumerate(zip(row, gen[i]))), used)
+    return n
+
+
+@F.pandas_udf(COMPARED)
+def compare_answers(gold: pd.Series, generated: pd.Series, types: pd.Series) -> pd.DataFrame:
+    """E1, E2 and E5 of one item: gold answer lines, generated answer text, column classes."""
+    known: dict[tuple, list] = {}
+    out = []
+    for lines, text, kinds in zip(gold, generated, types):
+        lines = () if lines is None else tuple(lines)
+        if lines not in known:
+            known[lines] = answer_rows(list(lines)) or []
+        want, got = known[lines], answer_rows(text)
+        out.append((got is not None, len(want), len(got or ()),
+                    greedy_matches(want, got, list(kinds) if kinds is not None else []) if got and want else 0))
+    return pd.DataFrame(out, columns=["executed", "n_gold", "n_gen", "matches"])
 
 
 # --- X9 / X13: text normalisation -------------------------------------------
@@ -138,17 +226,38 @@ def normalize_answer(col) -> Column:
     """Bare lower-case text; error/timeout -> ERROR_FLAG; Python list/tuple
     punctuation removed; a number that is integral prints without '.0'."""
     c = F.col(col) if isinstance(col, str) else col
-    low = F.lower(F.trim(c.cast("string")))
-    stripped = F.regexp_replace(low, r"""[\[\]\(\),'"]""", "")
-    num = stripped.try_cast("double")
-    as_num = F.when(num == F.floor(num), F.floor(num).cast("long").cast("string")).otherwise(num.cast("string"))
-    return (F.when(c.isNull(), F.lit(""))
-            .when(low.contains("error") | low.contains("timeout"), F.lit(ERROR_FLAG))
-            .when(num.isNotNull() & ~F.isnan(num), as_num)
-            .otherwise(F.trim(stripped)))
+
+    def number(num: Column) -> Column:
+        whole = (num == F.floor(num)) & (F.abs(num) < 9e15)
+        return F.when(num.isNull() | F.isnan(num), F.lit(None)).when(whole, F.floor(num).cast("long").cast("string")).otherwise(float_text(num))
+
+    def bare(text: Column) -> Column:
+        # Spark also reads '5f' and '1d' as numbers, Python does not.
+        python_number = F.rlike(text, F.lit(r"(?:[0-9.]|inf|infinity|nan)$"))
+        return F.coalesce(let(F.when(python_number, text.try_cast("double")), number), text)
+
+    def flagged(low: Column) -> Column:
+        return F.when(low.contains("error") | low.contains("timeout"), F.lit(ERROR_FLAG)).otherwise(
+            let(strip(F.regexp_replace(low, r"""[\[\]\(\),'"]""", "")), bare))
+
+    return F.coalesce(let(F.lower(strip(c.cast("string"))), flagged), F.lit(""))
 
 
 def normalize_cell(col) -> Column:
     """Cell to trimmed lower-case text, NULL -> 'none'."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.lower(F.trim(c.cast("string"))), F.lit("none"))
+    return F.coalesce(F.lower(strip(c.cast("string"))), F.lit("none"))
+
+
+def float_text(num: Column) -> Column:
+    """A double as Python prints it: Spark's ``1.0E-5`` is ``1e-05``, its ``1.0E7`` is ``10000000.0``."""
+    def printed(text: Column) -> Column:
+        digits, power = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).try_cast("int")
+        plain = F.regexp_replace(F.format_string("%.17f", num), "0+$", "")
+        short = F.concat(F.regexp_replace(digits, r"\.0$", ""), F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                         F.lpad(F.abs(power).cast("string"), 2, "0"))
+        long = F.regexp_replace(num.cast("decimal(38,16)").cast("string"), r"(\.\d+?)0+$", "$1")
+        return F.when(~F.contains(text, F.lit("E")), text).when((power >= 16) | (power < -4), short).otherwise(
+            F.when(power >= 7, long).otherwise(plain))
+
+    return let(num.cast("string"), printed)

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crease.functions.answers import normalize_answer, parse_answer_list, parse_answer_text
+from crease.functions.answers import normalize_answer
 from crease.operators.compare import score_items
 from crease.operators.forensics import LABELS, complexity_flags, error_labels, rule_flags
+from crease.session import ship
 
 REPORT_LANGUAGES = ["English", "Hindi_1", "Hindi_2"]
 BASIC_CLASSES = ["Schema Mismatch", "Row Count Mismatch", "Value Mismatch", "Execution Error"]
@@ -23,9 +24,11 @@ DIGITS = 6
 
 def evaluate(gold: DataFrame, results: DataFrame) -> DataFrame:
     """One scored row per result record that has a gold entry."""
-    g = gold.select("id", F.col("column_names").alias("gold_column_names"),
-                    parse_answer_list("answer").alias("gold_rows"))
-    r = results.withColumn("gen_rows", parse_answer_text("generated_answer"))
+    ship(gold.sparkSession)
+    g = gold.select("id", F.col("column_names").alias("gold_column_names"), F.col("answer").alias("gold_answer"))
+    # A record without a language counts as English, one without a time as 0 seconds.
+    r = results.withColumn("language", F.coalesce("language", F.lit("English"))).withColumn(
+        "time_taken", F.coalesce("time_taken", F.lit(0.0)))
     scored = score_items(r.join(g, "id"))
     q_text = F.concat(F.coalesce(F.col("question"), F.lit("")), F.lit(" "), F.coalesce(F.col("language"), F.lit("")))
     return scored.withColumn("forensic_labels",
