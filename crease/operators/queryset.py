@@ -2,19 +2,18 @@
 
 A query set is small (hundreds of statements), each statement is a full Spark
 job over the cluster's tables. The loop over statements runs on the driver
-because each statement *is* a job; rows are never materialised on the driver
-beyond a bounded preview (``max_rows``) used for the stored result text.
+because each statement *is* a job. Its rows never come to the driver: Spark writes all of
+them, as one JSON text a row, to a table in the shared folder; the driver keeps a status line per statement.
 
-* Q1/Q2: run a statement, record status, ordered header and result rows;
+* Q1/Q2: run a statement, record status, ordered header and all result rows;
 * Q3/L5: header without data - analysis only, no job is started;
-* Q4: per-statement timeout by job tag cancellation;
+* Q4: per-statement timeout by job tag cancellation, repeated until the statement ends;
 * Q5: error text mapping (timeout / execution error);
-* only read-only statements (SELECT / WITH) are accepted, since SQL arrives as data.
+* SQL arrives as data, so Spark's parser reads it first and only plans without a command in them are run.
 """
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -23,12 +22,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crease.session import checkpoint_dir
+
 # Result text of failed statements.
 TIMEOUT_TEXT = "ERROR: Query Timed Out"
 EXEC_ERROR_PREFIX = "EXECUTION_ERROR: "
 DEFAULT_TIMEOUT_S = 10.0
+STATUS_SCHEMA = "key string, status string, headers array<string>, n_rows long, message string"
+ROW_SCHEMA = "key string, row_no long, row string"
+
 
-_READ_ONLY = re.compile(r"^\s*(\(\s*)*(SELECT|WITH|VALUES)\b", re.IGNORECASE)
+class Refused(ValueError):
+    """The text is not one read-only statement."""
 
 
 @dataclass
@@ -36,32 +41,52 @@ class QueryOutcome:
     key: str
     status: str                 # ok | timeout | error | refused
     headers: list
-    rows: list
+    n_rows: int = 0
     message: str | None = None
 
-    @property
-    def result_text(self) -> str:
-        if self.status == "timeout":
-            return TIMEOUT_TEXT
-        if self.status in ("error", "refused"):
-            return EXEC_ERROR_PREFIX + (self.message or "")
-        return str([tuple(r) for r in self.rows])
 
+def _holds_command(spark: SparkSession, plan) -> bool:
+    """Is there a statement in the parsed plan that does more than read?"""
+    classes = [spark._jvm.org.apache.spark.util.Utils.classForName(f"org.apache.spark.sql.catalyst.plans.logical.{n}", True, False)
+               for n in ("Command", "ParsedStatement")]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(c.isInstance(node) for c in classes):
+            return True
+        for nodes in (node.children(), node.innerChildren()):
+            todo += [x for i in range(nodes.size()) if hasattr(x := nodes.apply(i), "children")]
+    return False
+
+
+def check_read_only(spark: SparkSession, sql: str | None) -> str:
+    """``sql`` if it is a single query; :class:`Refused` if it is a command, holds one, or is blank."""
+    if not sql or not sql.strip():
+        raise Refused("empty statement")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    if _holds_command(spark, plan):
+        raise Refused("only queries are run")
+    return sql
 
-def is_read_only(sql: str) -> bool:
-    return bool(sql) and bool(_READ_ONLY.match(sql)) and ";" not in sql.strip().rstrip(";")
+
+def is_read_only(spark: SparkSession, sql: str | None) -> bool:
+    try:
+        check_read_only(spark, sql)
+    except Exception:  # noqa: BLE001 - a text that cannot be parsed is no query either
+        return False
+    return True
 
 
 def headers_of(spark: SparkSession, sql: str) -> list[str]:
     """Column names from analysis only (no job runs)."""
-    return spark.sql(sql).columns
+    return spark.sql(check_read_only(spark, sql)).columns
 
 
 def schema_text(spark: SparkSession, database: str | None = None) -> str:
     """All table definitions of a database as text, or an error string."""
     try:
         lines = []
-        for t in spark.catalog.listTables(database):
+        for t in sorted(spark.catalog.listTables(database), key=lambda t: t.name):
             cols = spark.catalog.listColumns(t.name, database)
             lines.append(f"CREATE TABLE {t.name} (" + ", ".join(f"{c.name} {c.dataType}" for c in cols) + ");")
         return "\n".join(lines)
@@ -69,46 +94,78 @@ def schema_text(spark: SparkSession, database: str | None = None) -> str:
         return f"Error reading schema: {exc}"
 
 
-def run_query(spark: SparkSession, key: str, sql: str, timeout_s: float = DEFAULT_TIMEOUT_S,
-              max_rows: int | None = 1000) -> QueryOutcome:
-    """Q1/Q2/Q4/Q5: one statement under a job tag; cancelled when it overruns."""
-    text = (sql or "").strip().rstrip(";")
-    if not is_read_only(text):
-        return QueryOutcome(key, "refused", [], [], "only SELECT/WITH statements are run")
-    sc = spark.sparkContext
-    tag = f"crease-q-{uuid.uuid4().hex}"
-    timer = threading.Timer(timeout_s, lambda: sc.cancelJobsWithTag(tag))
-    sc.addJobTag(tag)
-    timer.start()
+class _Deadline:
+    """Cancels the jobs of a tag from the deadline on, again and again, until it is closed."""
+
+    def __init__(self, sc, tag: str, seconds: float):
+        self.sc, self.tag, self.seconds = sc, tag, seconds
+        self.closed, self.passed = threading.Event(), False
+        self.thread = threading.Thread(target=self._watch, daemon=True)
+
+    def _watch(self) -> None:
+        wait = self.seconds
+        while not self.closed.wait(wait):
+            self.passed, wait = True, 0.2
+            self.sc.cancelJobsWithTag(self.tag)
+
+    def __enter__(self):
+        self.sc.addJobTag(self.tag)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *exc):
+        self.closed.set()
+        self.thread.join()
+        self.sc.removeJobTag(self.tag)
+
+
+def run_query(spark: SparkSession, key: str, sql: str | None, rows_path: str,
+              timeout_s: float = DEFAULT_TIMEOUT_S) -> QueryOutcome:
+    """Q1/Q2/Q4/Q5: one statement; all its rows go to the table at ``rows_path``.
+
+    A statement that has not ended by the deadline timed out, whatever becomes of it afterwards.
+    """
+    path = f"{rows_path}/{uuid.uuid4().hex}"
     try:
-        df = spark.sql(text)
-        headers = df.columns
-        rows = df.take(max_rows) if max_rows is not None else df.collect()
-        return QueryOutcome(key, "ok", headers, rows)
-    except Exception as exc:  # noqa: BLE001 - analysis and execution errors are results
-        if not timer.is_alive():
-            return QueryOutcome(key, "timeout", [], [], TIMEOUT_TEXT)
-        return QueryOutcome(key, "error", [], [], str(exc).split("\n")[0])
-    finally:
-        timer.cancel()
-        sc.removeJobTag(tag)
+        text = check_read_only(spark, sql)
+    except Refused as exc:
+        return QueryOutcome(key, "refused", [], message=str(exc))
+    except Exception as exc:  # noqa: BLE001 - what the parser says is the result
+        return QueryOutcome(key, "error", [], message=str(exc).strip().split("\n")[0])
+    with _Deadline(spark.sparkContext, f"crease-q-{uuid.uuid4().hex}", timeout_s) as deadline:
+        try:
+            df = spark.sql(text)
+            headers = df.columns
+            # By position, as names in a header may repeat.
+            cells = df.toDF(*[f"c{i}" for i in range(len(headers))])
+            row = F.to_json(F.struct(*cells.columns), {"ignoreNullFields": "false"})
+            cells.select(F.lit(key).alias("key"), F.monotonically_increasing_id().alias("row_no"), row.alias("row")).write.parquet(path)
+            n = spark.read.schema(ROW_SCHEMA).parquet(path).count()
+            outcome = QueryOutcome(key, "ok", headers, n)
+        except Exception as exc:  # noqa: BLE001 - analysis and execution errors are results
+            outcome = QueryOutcome(key, "error", [], message=str(exc).strip().split("\n")[0])
+    return QueryOutcome(key, "timeout", [], message=TIMEOUT_TEXT) if deadline.passed else outcome
 
 
 def run_query_set(spark: SparkSession, statements: list[tuple[str, str]], timeout_s: float = DEFAULT_TIMEOUT_S,
-                  parallelism: int = 4, max_rows: int | None = 1000) -> DataFrame:
-    """Run (key, sql) pairs concurrently (FAIR scheduling recommended) into a status table.
+                  parallelism: int = 4, rows_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run (key, sql) pairs concurrently (FAIR scheduling recommended): (status table, table of all rows).
 
-    Job tags are thread-local, so each worker thread tags and cancels only its own jobs.
+    Job tags are thread-local, so each worker thread tags and cancels only its own jobs. ``row_no`` grows in the order of a
+    statement's result. The rows of statements that failed on the way are left out.
     """
-    def one(item):
-        k, q = item
-        return run_query(spark, k, q, timeout_s, max_rows)
-
+    rows_path = rows_path or f"{checkpoint_dir(spark).rstrip('/')}/queryset-{uuid.uuid4().hex}"
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        outcomes = list(pool.map(one, statements))
-    rows = [(o.key, o.status, o.headers, o.result_text, len(o.rows)) for o in outcomes]
-    return spark.createDataFrame(
-        rows, "key string, status string, headers array<string>, result string, n_rows int")
+        outcomes = list(pool.map(lambda s: run_query(spark, s[0], s[1], rows_path, timeout_s), statements))
+    # One row per statement of the set.
+    status = spark.createDataFrame([(o.key, o.status, o.headers, o.n_rows, o.message) for o in outcomes], STATUS_SCHEMA)
+    status = status.withColumn("result", F.when(F.col("status") == "timeout", F.lit(TIMEOUT_TEXT)).when(
+        F.col("status") != "ok", F.concat(F.lit(EXEC_ERROR_PREFIX), F.coalesce("message", F.lit("")))))
+    if any(o.status == "ok" for o in outcomes):
+        rows = spark.read.schema(ROW_SCHEMA).option("recursiveFileLookup", True).parquet(rows_path)
+    else:
+        rows = spark.createDataFrame([], ROW_SCHEMA)
+    return status, rows.join(status.filter("status = 'ok'").select("key"), "key", "left_semi")
 
 
 def validation_counts(status_table: DataFrame) -> DataFrame:

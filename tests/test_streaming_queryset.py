@@ -29,27 +29,40 @@ def test_incremental_evaluation_is_exactly_once(spark, tmp_path):
     assert {r.score for r in df.collect()} == {1.0}
 
 
-def test_query_set_runner(spark):
-    from crease.operators.queryset import headers_of, run_query_set, validation_counts
+def test_query_set_runner(spark, tmp_path):
+    from crease.operators.queryset import Refused, headers_of, is_read_only, run_query_set, validation_counts
+    import pytest
     spark.range(10).createOrReplaceTempView("nums")
-    st = run_query_set(spark, [
-        ("ok", "SELECT id AS n FROM nums WHERE id < 3"),
+    spark.range(3).write.saveAsTable("guarded_t") if not spark.catalog.tableExists("guarded_t") else None
+    st, rows = run_query_set(spark, [
+        ("ok", "SELECT id AS n, id AS n FROM nums WHERE id < 3 ORDER BY 1"),
+        ("many", "SELECT id FROM range(5000)"),
+        ("comment", "-- note\nSELECT ';x' AS c;"),
         ("bad", "SELECT missing_col FROM nums"),
-        ("write", "DROP TABLE nums"),
-    ], timeout_s=60.0)
+        ("write", "DROP TABLE guarded_t"),
+        ("cte_write", "WITH x AS (SELECT 1 AS a) INSERT INTO guarded_t SELECT a FROM x"),
+        ("none", None),
+    ], timeout_s=120.0)
     # Under FIFO scheduling a long job starves its neighbours, so the timeout case runs alone.
-    slow = run_query_set(spark, [
+    slow, _ = run_query_set(spark, [
         ("slow", "SELECT count(*) FROM range(0, 20000000000) a JOIN range(0, 20000000000) b ON a.id = b.id"),
     ], timeout_s=3.0)
-    st = st.unionByName(slow)
-    res = {r.key: r for r in st.collect()}
-    assert res["ok"].status == "ok" and res["ok"].headers == ["n"] and res["ok"].result == "[(0,), (1,), (2,)]"
+    res = {r.key: r for r in st.unionByName(slow).collect()}
+    assert res["ok"].status == "ok" and res["ok"].headers == ["n", "n"] and res["ok"].n_rows == 3
+    assert res["many"].n_rows == 5000 and rows.filter("key = 'many'").distinct().count() == 5000
+    assert [r.row for r in rows.filter("key = 'ok'").orderBy("row_no").collect()] == ['{"c0":%d,"c1":%d}' % (i, i) for i in range(3)]
+    assert [r.row for r in rows.filter("key = 'comment'").collect()] == ['{"c0":";x"}']
     assert res["bad"].status == "error" and res["bad"].result.startswith("EXECUTION_ERROR: ")
-    assert res["write"].status == "refused"
+    assert {res[k].status for k in ("write", "cte_write", "none")} == {"refused"}
+    assert spark.table("guarded_t").count() == 3
     assert res["slow"].status == "timeout" and res["slow"].result == "ERROR: Query Timed Out"
     c = validation_counts(st).collect()[0]
-    assert (c.success, c.errors) == (1, 3)
+    assert (c.success, c.errors) == (3, 4)
     assert headers_of(spark, "SELECT id AS a, id * 2 AS b FROM nums") == ["a", "b"]
+    with pytest.raises(Refused):
+        headers_of(spark, "DROP TABLE guarded_t")
+    assert not is_read_only(spark, "SELECT 1; DROP TABLE guarded_t")
+    spark.sql("DROP TABLE guarded_t")
 
 
 def test_published_report_arithmetic(spark):
