@@ -3,14 +3,13 @@
 ``exclusive_prefix_sums`` gives, for rows with a unique ordering key and
 per-row counts, the sum of the counts of all rows with a smaller key. A global
 ``sum().over(orderBy(key))`` would pull every row into one task; instead the
-keys are cut into about sqrt(N) value ranges:
+keys are cut into ``RANGES`` ranges at their quantiles, so ranges hold nearly equal numbers of keys
+however the keys are spread:
 
-1. within-range prefix: window partitioned by range id (about sqrt(N) rows each);
-2. range totals: one row per range, prefix-summed over about sqrt(N) rows.
+1. within-range prefix: window partitioned by range;
+2. range totals: one row per range, prefix-summed.
 
-Both windows stay near sqrt(N) rows: for 10^9 matches that is ~3*10^4 rows per
-window partition. The range width is a scalar subquery over (min, max, count),
-so the plan stays lazy.
+The cuts are one scalar subquery, so the plan stays lazy and both branches use the same ones.
 """
 
 from __future__ import annotations
@@ -18,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges the keys are cut into.
+RANGES = 256
+
 
 def exclusive_prefix_sums(df: DataFrame, key: str, counts: list[str], prefix_names: list[str] | None = None,
                           ) -> DataFrame:
@@ -26,11 +28,10 @@ def exclusive_prefix_sums(df: DataFrame, key: str, counts: list[str], prefix_nam
     Offsets are exclusive (the first key gets 0). ``key`` must be unique.
     """
     names = prefix_names or [c[2:] + "_offset" if c.startswith("n_") else c + "_offset" for c in counts]
-    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"))
-    lo = stats.select("lo").scalar()
-    width = stats.select(F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1)
-                                                     / F.greatest(F.lit(1.0), F.sqrt(F.col("n")))))).scalar()
-    ranged = df.select(key, *counts).withColumn("_rng", F.floor((F.col(key) - lo) / width))
+    cuts = df.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("c")).select("c").scalar()
+    # The first cut at or above the key; keys above all cuts are the last range.
+    ranged = df.select(key, *counts, F.coalesce(cuts, F.array().cast("array<bigint>")).alias("_cuts"))
+    ranged = ranged.withColumn("_rng", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
     w_in = Window.partitionBy("_rng").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     within = ranged.select(key, "_rng", *[F.coalesce(F.sum(c).over(w_in), F.lit(0)).alias("_in_" + c)
                                           for c in counts])

@@ -10,7 +10,7 @@ Deliveries are then exploded; the explode also stops Catalyst from inlining
 the registry map into every lookup. Name lookups and the drop rules run on
 delivery rows against the document's map (a column of the row, no join).
 
-Shuffles: delivery rows are partitioned once by ``match_id``; the per-match
+Shuffles: delivery rows are partitioned once by ``match_id``, in the plan of the output that needs it; the per-match
 position window, the first-wins rules inside a match and the join with the
 per-match id offsets all reuse that partitioning. A match is bounded in size
 (one document), so no task holds more than its matches. Players need one
@@ -25,10 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crease.functions.answers import let, strip
 from crease.operators.dense_ids import exclusive_prefix_sums
-from crease.session import checkpoint_dir
-
-LEGAL = "legal"
 
 
 @dataclass
@@ -47,46 +45,59 @@ def _nonempty(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def _registry_entries() -> Column:
-    """Valid (trimmed name, id, first position) entries; a later duplicate
-    of a trimmed name supplies the id, the first occurrence keeps its position."""
-    raw = F.transform(F.map_entries(F.col("info.registry.people")),
-                      lambda e, i: F.struct(e["key"].alias("name"), e["value"].alias("pid"), i.alias("pos")))
-    valid = F.filter(raw, lambda e: _nonempty(e["name"]) & _nonempty(e["pid"]))
-    keyed = F.transform(valid, lambda e: F.struct(F.trim(e["name"]).alias("k"), e["pid"].alias("pid"),
-                                                  e["pos"].alias("pos")))
-    return keyed
+def _registry() -> Column:
+    """Struct of ``entries`` (k, pid, pos) and ``map`` (k -> pid) over trimmed names.
 
+    Names or ids that are blank are left out. Of entries with one trimmed name the last supplies the id, the first
+    the position: sorted by (name, position) these are the ends of each run of one name.
+    """
+    def cleaned(raw: Column) -> Column:
+        valid = F.filter(raw, lambda e: _nonempty(e["value"]) & _nonempty(e["key"]))
+        return F.sort_array(F.transform(valid, lambda e: F.struct(strip(e["key"]).alias("k"), e["pos"].alias("pos"), e["value"].alias("pid"))))
 
-def _dedup_registry(entries: Column) -> Column:
-    """``entries`` must be a column reference: it is used inside lambdas."""
-    firsts = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, 1, i), lambda x: x["k"] == e["k"]))
-    return F.transform(firsts, lambda e: F.struct(
-        e["k"].alias("k"),
-        F.element_at(F.filter(entries, lambda x: x["k"] == e["k"]), -1)["pid"].alias("pid"),
-        e["pos"].alias("pos")))
+    def ends(s: Column) -> Column:
+        firsts = F.filter(s, lambda e, i: F.coalesce(F.get(s, i - 1)["k"] != e["k"], F.lit(True)))
+        lasts = F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["k"] != e["k"], F.lit(True)))
+        return F.zip_with(firsts, lasts, lambda f, l: F.struct(f["k"].alias("k"), l["pid"].alias("pid"), f["pos"].alias("pos")))
+
+    raw = F.transform(F.map_entries(F.col("info.registry.people")),
+                      lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("pos")))
+    return let(let(cleaned(raw), ends), lambda entries: F.struct(
+        entries.alias("entries"), F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"], e["pid"]))).alias("map")))
 
 
 def _lookup(reg: Column, name: Column) -> Column:
     """Trimmed-name lookup; blank or unknown -> NULL."""
-    return F.when(_nonempty(name), F.try_element_at(reg, F.trim(name)))
+    return F.when(_nonempty(name), F.try_element_at(reg, strip(name)))
 
 
 def _first(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``copy_no``: 1 for the first file of a match id, more for others; 1 where files have no names.
+
+    Only (id, name) pairs of ids with several files are counted and joined back, a set that is empty in a sound load.
+    """
+    if "file_name" not in docs.columns:
+        return docs.withColumn("copy_no", F.lit(1))
+    firsts = (docs.groupBy("match_id").agg(F.min("file_name").alias("_first"), F.count(F.lit(1)).alias("_n"))
+              .filter("_n > 1 AND match_id IS NOT NULL").select("match_id", "_first"))
+    return (docs.join(firsts, "match_id", "left")
+            .withColumn("copy_no", F.when(F.col("_first") < F.col("file_name"), 2).otherwise(1)).drop("_first"))
+
+
 def prepare(docs: DataFrame) -> DataFrame:
     """Add the per-document registry map and the file-level reject reason."""
-    d = docs.withColumn("reg_raw", _registry_entries())
-    d = d.withColumn("reg_entries", _dedup_registry(F.col("reg_raw")))
-    d = d.withColumn("reg", F.map_from_entries(F.transform("reg_entries", lambda e: F.struct(e["k"], e["pid"]))))
+    # One row per further file of an id; documents themselves are not shuffled.
+    d = _numbered(docs).withColumn("registry", _registry())
     info = F.col("info")
     umpires = info["officials"]["umpires"]
     teams = info["teams"]
     pom = info["player_of_match"]
     dates = info["dates"]
-    xi_names = F.flatten(F.map_values(info["players"]))
+    lists = F.coalesce(F.map_values(info["players"]), F.array().cast("array<array<string>>"))
     corrupt = F.col("_corrupt_record") if "_corrupt_record" in docs.columns else F.lit(None).cast("string")
     # File-level rejection, first failing rule wins.
     reason = (F.when(corrupt.isNotNull(), "unreadable document")
@@ -99,8 +110,10 @@ def prepare(docs: DataFrame) -> DataFrame:
               .when(teams.isNotNull() & (_first(teams).isNull() | F.try_element_at(teams, F.lit(2)).isNull()),
                     "NULL team")
               .when(umpires.isNotNull() & (F.size(umpires) < 2), "fewer than two umpires")
-              .when(F.exists(F.coalesce(xi_names, F.array().cast("array<string>")), lambda n: n.isNull()),
-                    "NULL name in playing XI"))
+              .when(F.exists(lists, lambda names: names.isNull()), "NULL playing XI")
+              .when(F.exists(lists, lambda names: F.exists(names, lambda n: n.isNull())), "NULL name in playing XI")
+              # The primary key of matches lets the first file of an id in, by file name.
+              .when(F.col("copy_no") > 1, "duplicate match id"))
     return d.withColumn("reject_reason", reason)
 
 
@@ -155,22 +168,17 @@ def _kept() -> Column:
             & F.col("batting_team").isNotNull() & F.col("over_number").isNotNull())
 
 
-def ingest(docs: DataFrame, excluded: DataFrame | None = None, materialize: bool = True) -> IngestResult:
-    """Run the whole load. ``excluded`` lists files skipped before parsing (S3).
+def ingest(docs: DataFrame, excluded: DataFrame | None = None) -> IngestResult:
+    """Plan the whole load; nothing runs before an output is used. ``excluded`` lists files skipped before parsing (S3).
 
-    ``materialize`` writes the prepared documents and the exploded delivery
-    rows with a reliable ``checkpoint()`` to the shared checkpoint folder:
-    documents are parsed once, and every consumer of delivery rows (ids,
-    offsets, fielders, rejects) reads them back instead of re-deriving them;
-    a lost executor's work is re-read rather than recomputed. (A lazy
-    checkpoint of the rows measured slower: its first use recomputes them.)
+    Each output reads the document scan with the columns it needs: matches, players and file rejects
+    never touch deliveries. To produce all outputs from one pass over costly documents, write
+    the documents once and give the table read back.
     """
     p = prepare(docs)
-    if materialize:
-        checkpoint_dir(docs.sparkSession)
-        p = p.checkpoint()
     ok = p.filter(F.col("reject_reason").isNull())
     reg = F.col("reg")
+    ok = ok.withColumn("reg", F.col("registry.map"))
 
     # --- deliveries: explode once, resolve names against the row's registry map.
     raw = ok.select("match_id", "reg", F.posexplode(_raw_deliveries()).alias("pos", "x"))
@@ -182,9 +190,7 @@ def ingest(docs: DataFrame, excluded: DataFrame | None = None, materialize: bool
         _lookup(reg, F.col("x.player_out")).alias("player_out_id"),
         F.filter(F.transform("x.fielder_names", lambda n: _lookup(reg, n)), lambda v: v.isNotNull())
          .alias("fielder_ids"),
-    ).withColumn("kept", _kept()).repartition("match_id")
-    if materialize:
-        rows = rows.checkpoint()
+    ).withColumn("kept", _kept())
 
     kept = rows.filter("kept")
     in_match = kept.withColumn("mpos", F.row_number().over(
@@ -245,7 +251,7 @@ def ingest(docs: DataFrame, excluded: DataFrame | None = None, materialize: bool
                        .agg(F.min_by("team", "xpos").alias("team_name")))
 
     # --- Players (P19): first match (lowest id), then registry position, wins per id.
-    players = (ok.select("match_id", F.explode("reg_entries").alias("e"))
+    players = (ok.select("match_id", F.explode("registry.entries").alias("e"))
                .groupBy(F.col("e.pid").alias("player_id"))
                .agg(F.min_by(F.col("e.k"), F.struct("match_id", F.col("e.pos"))).alias("player_name")))
 
@@ -284,7 +290,7 @@ def _row_rejects(rows: DataFrame, xi_rows: DataFrame) -> DataFrame:
     fld_failed = rows.filter(F.col("kept") & (F.size("fielder_names") != F.size("fielder_ids"))) \
         .select("match_id", "inning", "over_number", "seq", F.lit("fielder lookup failed").alias("reason"),
                 F.array_join("fielder_names", ", ").alias("detail"))
-    xi_failed = (xi_rows.filter(_nonempty(F.trim(F.col("name"))) & F.col("player_id").isNull())
+    xi_failed = (xi_rows.filter(_nonempty(strip(F.col("name"))) & F.col("player_id").isNull())
                  .select("match_id", F.lit(None).cast("int").alias("inning"),
                          F.lit(None).cast("int").alias("over_number"), F.lit(None).cast("int").alias("seq"),
                          F.lit("XI player not in registry").alias("reason"), F.col("name").alias("detail")))

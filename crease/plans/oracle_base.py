@@ -34,7 +34,7 @@ matches AS (
   FROM orders
   JOIN teams t1 ON t1.team_idx = o_custkey % 12
   JOIN teams t2 ON t2.team_idx = (o_custkey + 1 + floor(o_orderkey / 40) % 11) % 12
-  WHERE o_orderkey % 40 = 0),
+  WHERE o_orderkey IN (SELECT MIN(o_orderkey) FROM orders GROUP BY floor(o_orderkey / 40))),
 d0 AS (
   SELECT CAST(floor(l_orderkey / 40) AS BIGINT) AS match_id,
          CAST(1 + floor((l_orderkey % 40) / 20) AS INT) AS inning,

@@ -4,7 +4,7 @@ The test data has no match documents, so the five cricket tables are built from
 driver tables with arithmetic that Spark and DuckDB evaluate identically:
 
 * one order is one over, 40 consecutive orders are one match (2 innings x 20 overs);
-* a match's header attributes come from its first order (``o_orderkey % 40 = 0``);
+* a match's header attributes come from the first order of its block;
   every line item becomes a delivery, so all of ``lineitem`` is used;
 * players are parts (``P<partkey>``, batters) and suppliers (``S<suppkey>``, bowlers).
 
@@ -42,7 +42,7 @@ WICKET_KINDS = [
 
 OVERS_PER_INNING = 20
 ORDERS_PER_MATCH = 40
-# Deliveries per over never reach this; it spaces the surrogate delivery ids.
+# Spaces the surrogate delivery ids; an over with more deliveries raises an error.
 DELIVERY_ID_STRIDE = 4096
 
 
@@ -75,15 +75,18 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The header of a match is the first order there is of its block, found among all of them.
     o = table(spark, sf_dir, "orders")
+    header = ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"]
+    o = (o.groupBy(F.floor(F.col("o_orderkey") / ORDERS_PER_MATCH).alias("_block"))
+         .agg(F.min(F.struct(*header)).alias("h")).select("h.*"))
     cust = F.col("o_custkey")
     match_id = F.floor(F.col("o_orderkey") / ORDERS_PER_MATCH).cast("long")
     team1 = _team(cust % 12)
     team2 = _team((cust + 1 + F.floor(F.col("o_orderkey") / ORDERS_PER_MATCH) % 11) % 12)
     status = F.col("o_orderstatus")
     return (
-        o.filter((F.col("o_orderkey") % ORDERS_PER_MATCH) == 0)   # the match header order
-        .select(
+        o.select(
             match_id.alias("match_id"),
             F.year("o_orderdate").cast("string").alias("season"),
             F.col("o_orderdate").cast("date").cast("string").alias("match_date"),
@@ -138,7 +141,8 @@ def deliveries(spark: SparkSession, sf_dir: str, match_df: DataFrame | None = No
     legal = ((F.col("wides") == 0) & (F.col("noballs") == 0)).cast("int")
     j = d0.join(m, "match_id")
     return j.select(
-        (okey * DELIVERY_ID_STRIDE + F.row_number().over(over_w)).alias("delivery_id"),
+        (okey * DELIVERY_ID_STRIDE + F.when(F.row_number().over(over_w) < DELIVERY_ID_STRIDE, F.row_number().over(over_w))
+         .otherwise(F.raise_error(F.lit("an over has too many deliveries for its id range")).cast("int"))).alias("delivery_id"),
         "match_id", "inning", "over_number",
         F.sum(legal).over(over_w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
          .cast("int").alias("ball_number"),
