@@ -13,6 +13,7 @@ packed; null ids are kept; an empty table gives no rows; further columns are not
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,47 @@ from .common import ranked, table, written
 VOCABULARY, END_ID = "byte_bpe_50k.json", 1
 LIMIT, UNIT = 2048, 16
 #: Words whose ids a worker remembers, and the longest such word: bounds its memory, not the result.
-WORDS_KEPT, LONGEST_KEPT = 400_000, 64
+WORDS_KEPT, LONGEST_KEPT = 800_000, 64
 _ENCODERS: dict[str, "Encoder"] = {}
+#: Letters up to U+024F, on whose classes all Unicode versions agree.
+_LETTERS = re.compile(r"[^\W\d_\u00B2\u00B3\u00B9\u00BC-\u00BE\u0250-\U0010FFFF]+").fullmatch
+#: The sign by which a byte-level vocabulary writes each byte: itself if visible in Latin-1, else the next from U+0100 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
+class _Known(dict):
+    """Ids of words, each after ``before`` (a space or nothing), found when first asked for.
+
+    Three kinds of words need no pre-tokenizer, as what it does to them is plain: letters alone are one
+    pre-token; a comma or full stop after letters, and a single line feed between visible characters, are pre-tokens of their own.
+    """
+
+    def __init__(self, tokenizer, before: str):
+        super().__init__()
+        self.tokenizer, self.model, self.before, self.start = tokenizer, tokenizer.model, before, self
+        self.mark = {c: self.whole(c) for c in ",.\n"}
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST_KEPT:
+            return self.whole(self.before + word)
+        head, feed, tail = word.partition("\n")
+        if feed and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + self.mark[feed] + self.start[tail]
+        if _LETTERS(word):
+            units = (self.before + word).encode().decode("latin-1").translate(_BYTE_SIGNS)
+            ids = np.array([t.id for t in self.model.tokenize(units)], dtype="<u4").tobytes()
+        elif word[-1:] in (",", ".") and _LETTERS(word[:-1]):
+            ids = self[word[:-1]] + self.mark[word[-1]]
+        else:
+            ids = self.whole(self.before + word)
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -39,29 +79,16 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        whole = self.whole
-
-        class Known(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = whole(" " + word)
-                if len(word) <= LONGEST_KEPT:
-                    if len(self) >= WORDS_KEPT:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        self.known = Known()
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.known, self.start = _Known(tokenizer, " "), _Known(tokenizer, "")
+        self.known.start = self.start
 
     def __call__(self, text: str) -> bytes:
         first, *words = text.split(" ")
         if "" in words or not first:
-            return self.whole(text)
-        return self.whole(first) + b"".join(map(self.known.__getitem__, words))
+            return self.start.whole(text)
+        return self.start[first] + b"".join(map(self.known.__getitem__, words))
 
 
 def _encoder(path: str | None) -> Encoder:

@@ -20,7 +20,7 @@ def ids_of(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from(["a", "Été", " ", "  ", "\n", "\t ", " ", "x.", "1", "'s", "don't", "中文", "<|endoftext|>", "%%%",
+@given(st.lists(st.sampled_from(["a", "Été", "²", "b,", "c.\nd", " ", "  ", "\n", "\t ", " ", "x.", "1", "'s", "don't", "中文", "<|endoftext|>", "%%%",
                                  " ", "\x85", "​", "🙂", "_", "\x0b"]), max_size=12))
 def test_remembered_words_give_the_same_ids(parts):
     text = "".join(parts)
