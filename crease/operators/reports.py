@@ -8,7 +8,7 @@ so each shuffles one row per key per partition after map-side combining.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crease.functions.answers import normalize_answer
@@ -81,31 +81,102 @@ def failure_counts(ev: DataFrame) -> DataFrame:
             .groupBy("model", "failure_class").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _totals(ev: DataFrame) -> DataFrame:
+    """Everything a report needs in one pass: one row per model, a count or sum per class, label and language."""
+    label = lambda x: F.count_if(F.array_contains("forensic_labels", x))
+    return ev.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("time_taken").alias("seconds"), F.sum("score").alias("score"),
+        F.count_if("executed").alias("executed"), F.count_if("schema_ok").alias("schema_ok"),
+        F.array(*[F.count_if(F.col("failure_class") == c) for c in BASIC_CLASSES]).alias("classes"),
+        F.array(*[label(x) for x in LABELS]).alias("labels"),
+        F.array(*[F.struct(F.count_if(F.col("language") == x).alias("n"),
+                           F.sum(F.when(F.col("language") == x, F.col("score"))).alias("score"))
+                  for x in REPORT_LANGUAGES]).alias("languages"))
+
+
+def _failures() -> Column:
+    """A20's denominator: at least one failure, fractional as scores are."""
+    return F.greatest(F.col("n") - F.col("score"), F.lit(1.0))
+
+
 def forensic_counts(ev: DataFrame) -> DataFrame:
     """Label counts and share of failures (denominator max(count - score, 1))."""
-    totals = ev.groupBy("model").agg(
-        F.greatest(F.count(F.lit(1)).cast("double") - F.sum("score"), F.lit(1.0)).alias("failures"))
-    labels = (ev.select("model", F.explode("forensic_labels").alias("label"))
-              .groupBy("model", "label").agg(F.count(F.lit(1)).alias("n")))
-    return (labels.join(totals, "model")
-            .select("model", "label", "n", F.round(F.col("n") * 100.0 / F.col("failures"), DIGITS).alias("share_pct")))
-
-
-def report_lines(summary: DataFrame, failures: DataFrame, forensics: DataFrame) -> DataFrame:
-    """Per-model report text lines (model, line_no, text) for a text sink."""
-    head = summary.select("model", F.posexplode(F.array(
-        F.format_string("MODEL: %s", "model"),
-        F.format_string("Total Queries: %d", "total_queries"),
-        F.format_string("Avg Latency:   %.2fs per query", "avg_latency"),
-        F.format_string("  Execution Success:  %d/%d (%.1f%%)", "exec_success", "total_queries", "exec_pct"),
-        F.format_string("  Schema Compliance:  %d/%d (%.1f%%)", "schema_matches", "total_queries", "schema_pct"),
-        F.format_string("  Data Match Score:   %.1f/%d (%.1f%%)", "data_match_score", "total_queries", "data_pct"),
-    )).alias("line_no", "text"))
-    fail = failures.select("model", F.lit(100).alias("line_no"),
-                           F.format_string("  %-20s: %d", "failure_class", "n").alias("text"))
-    fore = forensics.select("model", F.lit(200).alias("line_no"),
-                            F.format_string("  %-25s: %d (%.1f%% of failures)", "label", "n", "share_pct").alias("text"))
-    return head.unionByName(fail).unionByName(fore)
+    named = F.arrays_zip(F.array(*[F.lit(x) for x in LABELS]).alias("label"), F.col("labels").alias("n"))
+    one = _totals(ev).select("model", _failures().alias("failures"), F.inline(named).alias("label", "n"))
+    return one.filter("n > 0").select("model", "label", "n", F.round(F.col("n") * 100.0 / F.col("failures"), DIGITS).alias("share_pct"))
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    """Python's ``.1f``: ties go to the even digit, where Java's formatter rounds up."""
+    return F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits))
+
+
+# The lines of the report block.
+def report_lines(ev: DataFrame) -> DataFrame:
+    """The report block of each model as (model, line_no, text), in order, for a text sink (K6)."""
+    n, score = F.col("n"), F.col("score")
+    share = lambda x: F.concat(x.cast("string"), F.lit("/"), n.cast("string"), F.lit(" ("), _fixed(x * 100.0 / n, 1), F.lit("%)"))
+    text = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i for i in x])
+    lines = [text("MODEL: ", F.col("model")), F.lit("-" * 40), text("Total Queries: ", n.cast("string")),
+             text("Avg Latency:   ", _fixed(F.col("seconds") / n, 2), "s per query"), F.lit(""), F.lit("METRICS:"),
+             text("  Execution Success:  ", share(F.col("executed"))), text("  Schema Compliance:  ", share(F.col("schema_ok"))),
+             text("  Data Match Score:   ", _fixed(score, 1), "/", n.cast("string"), " (", _fixed(score * 100.0 / n, 1), "%)"),
+             F.lit(""), F.lit("LANGUAGE BREAKDOWN (Data Match %):")]
+    for i, name in enumerate(REPORT_LANGUAGES):
+        x = F.get("languages", F.lit(i))
+        lines.append(F.when(x["n"] > 0, text(f"  {name:<10}: ", _fixed(x["score"] / x["n"] * 100.0, 1), "%")))
+    lines += [F.lit(""), F.lit("BASIC FAILURE COUNTS:")]
+    for i, name in enumerate(BASIC_CLASSES):
+        x = F.get("classes", F.lit(i))
+        lines.append(F.when(x > 0, text(f"  {name:<20}: ", x.cast("string"))))
+    lines += [F.lit(""), F.lit("FORENSIC ERROR ANALYSIS (Semantic Causes):")]
+    for i, name in enumerate(LABELS):
+        x = F.get("labels", F.lit(i))
+        lines.append(F.when(x > 0, text(f"  {name:<25}: ", x.cast("string"), " (", _fixed(x / _failures() * 100.0, 1), "% of failures)")))
+    lines += [F.lit(""), F.lit("=" * 60), F.lit("")]
+    kept = F.filter(F.array(*lines), lambda x: x.isNotNull())
+    return _totals(ev).select("model", F.posexplode(kept).alias("line_no", "text"))
+
+
+def latex_rows(errors: DataFrame) -> DataFrame:
+    """One table row per model and rule (A22's counts), or a remark for a model without errors."""
+    names = ["hallucination", "legal_ball", "team_mapping", "phase_filter", "aggregation"]
+    total = F.col("total_errors")
+    rows = [F.concat(F.lit(f"{label} & "), F.col(c).cast("string"), F.lit(" & "), _fixed(F.col(c) / total * 100.0, 1), F.lit("\\% \\\\"))
+            for label, c in zip(LABELS, names)]
+    head = F.concat(F.lit("% Stats for "), F.col("model"), F.lit(" (N="), total.cast("string"), F.lit(" errors)"))
+    none = F.concat(F.lit("% "), F.col("model"), F.lit(": Perfect Score (0 Errors)"))
+    return errors.select("model", F.posexplode(F.when(total == 0, F.array(none)).otherwise(F.array(head, *rows))).alias("line_no", "text"))
+
+
+# Short names by the first of these found in a file name.
+FAMILIES = [("llama", "Llama-3.1"), ("claude", "Claude-3.7"), ("gpt-4o", "GPT-4o"), ("deepseek", "DeepSeek-R1"),
+            ("gemma", "Gemma-2-9B"), ("qwen", "Qwen-2.5")]
+
+
+def short_name(model: Column) -> Column:
+    """X11: the family's short name, else the first ten characters."""
+    out = F.substring(model, 1, 10)
+    for key, name in reversed(FAMILIES):
+        out = F.when(model.contains(key), F.lit(name)).otherwise(out)
+    return out
+
+
+def last_file_wins(per_file: DataFrame, model: str = "model") -> DataFrame:
+    """Of several files with one short name the last by file name counts."""
+    named = per_file.withColumn("short_name", short_name(F.col(model)))
+    last = named.groupBy("short_name").agg(F.max(model).alias("_last"))
+    return named.join(last, "short_name").filter(F.col(model) == F.col("_last")).drop("_last")
+
+
+def context_comparison(with_context: DataFrame, without: DataFrame) -> DataFrame:
+    """Percentages of two evaluated result sets side by side, one row per model of either."""
+    both = (_totals(with_context).withColumn("mode", F.lit("context"))
+            .unionByName(_totals(without).withColumn("mode", F.lit("schema_only"))))
+    pct = lambda mode, c: F.max(F.when(F.col("mode") == mode, F.col(c) * 100.0 / F.col("n")))
+    out = both.groupBy("model").agg(*[F.round(pct(m, c), DIGITS).alias(f"{m}_{c}_pct")
+                                      for m in ("context", "schema_only") for c in ("executed", "schema_ok", "score")])
+    return out.withColumn("score_gain", F.round(F.col("context_score_pct") - F.col("schema_only_score_pct"), DIGITS))
 
 
 def string_error_analysis(gold: DataFrame, results: DataFrame) -> DataFrame:
@@ -139,4 +210,4 @@ def complexity_counts(gold: DataFrame) -> DataFrame:
 
 
 __all__ = ["evaluate", "item_scores", "model_summary", "language_breakdown", "failure_counts",
-           "forensic_counts", "report_lines", "string_error_analysis", "complexity_counts", "LABELS"]
+           "forensic_counts", "report_lines", "latex_rows", "short_name", "last_file_wins", "context_comparison", "string_error_analysis", "complexity_counts", "LABELS"]

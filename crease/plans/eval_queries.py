@@ -44,8 +44,7 @@ def q_forensic_counts(spark, sf_dir):
 
 
 def q_report_lines(spark, sf_dir):
-    ev = _evaluated(spark, sf_dir)
-    return R.report_lines(R.model_summary(ev), R.failure_counts(ev), R.forensic_counts(ev))
+    return R.report_lines(_evaluated(spark, sf_dir))
 
 
 def q_string_errors(spark, sf_dir):
@@ -224,6 +223,33 @@ FROM lbl l JOIN tot t ON t.model = l.model GROUP BY l.model, label""",
     "eval_complexity": None,  # filled below
 }
 
+
+
+def _report_sql() -> str:
+    """The report block written out from its text, one row per line."""
+    langs, classes = R.REPORT_LANGUAGES, R.BASIC_CLASSES
+    totals = ", ".join(
+        [f"SUM(CASE WHEN language = '{x}' THEN score END) AS ls{i}, COUNT(CASE WHEN language = '{x}' THEN 1 END) AS ln{i}" for i, x in enumerate(langs)]
+        + [f"COUNT(CASE WHEN failure_class = '{x}' THEN 1 END) AS c{i}" for i, x in enumerate(classes)]
+        + [f"COUNT(CASE WHEN list_contains(string_split(forensic_labels, '|'), '{x}') THEN 1 END) AS f{i}" for i, x in enumerate(R.LABELS)])
+    share = "printf('%d/%d (%.1f%%)', {0}, n, {0} * 100.0::DOUBLE / n)"
+    lines = ["'MODEL: ' || model", f"'{'-' * 40}'", "printf('Total Queries: %d', n)", "printf('Avg Latency:   %.2fs per query', lat)", "''", "'METRICS:'",
+             f"'  Execution Success:  ' || {share.format('ex')}", f"'  Schema Compliance:  ' || {share.format('so')}",
+             "printf('  Data Match Score:   %.1f/%d (%.1f%%)', s, n, s * 100.0::DOUBLE / n)", "''", "'LANGUAGE BREAKDOWN (Data Match %):'"]
+    lines += [f"CASE WHEN ln{i} > 0 THEN printf('  {x:<10}: %.1f%%', ls{i} / ln{i} * 100) END" for i, x in enumerate(langs)]
+    lines += ["''", "'BASIC FAILURE COUNTS:'"] + [f"CASE WHEN c{i} > 0 THEN printf('  {x:<20}: %d', c{i}) END" for i, x in enumerate(classes)]
+    lines += ["''", "'FORENSIC ERROR ANALYSIS (Semantic Causes):'"]
+    lines += [f"CASE WHEN f{i} > 0 THEN printf('  {x:<25}: %d (%.1f%% of failures)', f{i}, f{i} / greatest(n - s, 1) * 100) END" for i, x in enumerate(R.LABELS)]
+    lines += ["''", f"'{'=' * 60}'", "''"]
+    return _BASE + f""",
+t AS (SELECT model, COUNT(*) AS n, COUNT(CASE WHEN executed THEN 1 END) AS ex, COUNT(CASE WHEN schema_ok THEN 1 END) AS so,
+             SUM(score) AS s, SUM(time_taken) / COUNT(*) AS lat, {totals} FROM lab GROUP BY model),
+x AS (SELECT model, [v for v in [{', '.join(lines)}] if v IS NOT NULL] AS ls FROM t)
+SELECT model, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS text FROM x"""
+
+
+ORACLES["eval_report_lines"] = _report_sql()
+
 # Complexity classes over the gold dataset (one row per order).
 _CX_Q = f"lower({_case_text(X.QUESTIONS, 'o_orderkey')} || ' ' || {_case_text(X.QUESTIONS, 'o_orderkey')})"
 _CX_S = f"upper({_case_text(X.SQL_TEMPLATES, 'o_orderkey')})"
