@@ -12,6 +12,7 @@ _MODULES = (
     "crease.plans.ingest_queries",
     "crease.plans.eval_queries",
     "crease.plans.dataset_queries",
+    "crease.plans.run_queries",
 )
 
 

@@ -70,9 +70,9 @@ def read_match_files(spark: SparkSession, path: str,
 
 def docs_from_json(df: DataFrame, json_col: str = "json") -> DataFrame:
     """Parse documents held as JSON text in a column (same schema as the files)."""
-    parsed = F.from_json(F.col(json_col), match_schema())
-    return df.select("match_id", parsed.getField("info").alias("info"),
-                     parsed.getField("innings").alias("innings"))
+    schema = StructType(match_schema().fields + [StructType.fromDDL(f"{CORRUPT_COL} string").fields[0]])
+    parsed = df.select("match_id", F.from_json(F.col(json_col), schema, {"columnNameOfCorruptRecord": CORRUPT_COL}).alias("d"))
+    return parsed.select("match_id", "d.info", "d.innings", f"d.{CORRUPT_COL}")
 
 
 # --- documents re-nested from the adapter tables ---------------------------
