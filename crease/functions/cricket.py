@@ -86,15 +86,6 @@ def franchise(col) -> Column:
     return F.coalesce(F.try_element_at(lookup, c), c)
 
 
-def franchise_case_sql(col: str) -> str:
-    """The same mapping as an SQL CASE expression (for SQL-held queries/oracles)."""
-    whens = " ".join(
-        "WHEN {c} IN ({olds}) THEN '{new}'".format(
-            c=col, olds=", ".join(f"'{o}'" for o in olds), new=new)
-        for new, olds in FRANCHISES.items())
-    return f"(CASE {whens} ELSE {col} END)"
-
-
 # --- A*: aggregate expressions -------------------------------------------
 
 def legal_balls() -> Column:

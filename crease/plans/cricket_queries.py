@@ -11,6 +11,7 @@ from crease.sources.adapter import cricket_tables
 LIKE_FRAGMENT = "PLATE"
 SINCE_DATE = "1998-01-01"
 
+# Franchises, written out for the oracle on its own.
 _FRANCHISE = """CASE
   WHEN {c} IN ('Delhi Daredevils', 'Delhi Capitals') THEN 'Delhi Capitals'
   WHEN {c} IN ('Kings XI Punjab', 'Punjab Kings') THEN 'Punjab Kings'

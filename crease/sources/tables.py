@@ -6,8 +6,6 @@ scan, so callers select what they need and nothing more is read.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 DRIVER_TABLES = (
@@ -18,12 +16,10 @@ DRIVER_TABLES = (
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, ``<sf_dir>/<name>.parquet`` (a file or a directory)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
     """Register driver tables as temp views for SQL-held queries."""
     for name in names:
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(path):
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
