@@ -75,3 +75,19 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str,
     inside = Window.partitionBy(*keys).orderBy(*order)
     joined = dealt.join(offsets, on)
     return joined.withColumn(rank, F.col(before) + F.row_number().over(inside) - 1).select(*df.columns, rank)
+
+
+def thinned(df: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` may be among ``keys`` (one long column), before a join on it.
+
+    A bitmap of ``2 ** bits`` bits is broadcast, as at most ``2 ** (bits - 6)`` rows of two numbers, whatever
+    the input. It lets through every row with a key in ``keys``, and others by chance; with very many keys it lets through all.
+    """
+    place = lambda c: F.pmod(c, F.lit(1 << bits))
+    slot = lambda c: place(c).bitwiseAND(F.lit(63)).cast("int")
+    word, marks = free_name(df, "_word"), free_name(df, "_marks")
+    k = F.col(keys.columns[0])
+    marked = (keys.groupBy(F.shiftright(place(k), 6).alias(word))
+              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot(k))).alias(marks)))
+    met = df.withColumn(word, F.shiftright(place(F.col(key)), 6)).join(F.broadcast(marked), word)
+    return met.filter(F.call_function("shiftright", F.col(marks), slot(F.col(key))).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
