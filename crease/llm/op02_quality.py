@@ -93,7 +93,8 @@ def judge(text: Column, most_lost: int = MOST_LOST) -> Column:
 def clean(docs: DataFrame, text: str = "text", **params) -> DataFrame:
     """The documents kept, with the failing lines removed from ``text``."""
     j = free_name(docs, "_judged")
-    judged = docs.withColumn(j, judge(F.col(text), **params)).filter(F.col(f"{j}.kept"))
+    # Exploded rather than filtered: a filter would be pushed below the projection and every text judged twice.
+    judged = docs.select("*", F.explode(F.filter(F.array(judge(F.col(text), **params)), lambda x: x["kept"])).alias(j))
     return judged.withColumn(text, F.col(f"{j}.text")).drop(j)
 
 
