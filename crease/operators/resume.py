@@ -35,8 +35,11 @@ def read_result_files(spark: SparkSession, folder: str, prefix: str = "final_ben
     raw = (spark.read.schema(f"{RESULT_DDL}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", f"{prefix}*.json").json(folder)
            .select("*", F.col("_metadata.file_name").alias("file_name")))
-    good = raw.filter(f"{CORRUPT} IS NULL").withColumn("model", model_of_file(F.col("file_name"), prefix)).drop(CORRUPT, "file_name")
-    return good, raw.filter(f"{CORRUPT} IS NOT NULL").select("file_name").distinct()
+    # Spark refuses a JSON scan of the corrupt column alone, as in a count, so both filters name others beside it;
+    # a record without id, question and SQL is none.
+    good = raw.filter(f"{CORRUPT} IS NULL AND coalesce(id, question, generated_sql) IS NOT NULL").withColumn("model", model_of_file(F.col("file_name"), prefix)).drop(CORRUPT, "file_name")
+    files = raw.groupBy("file_name").agg(F.count(CORRUPT).alias("bad"), F.count("id").alias("read"))
+    return good, files.filter("bad > 0 AND read >= 0").select("file_name")
 
 
 def coerce_ids(results: DataFrame) -> DataFrame:
