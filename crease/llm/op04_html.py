@@ -27,8 +27,10 @@ LEAST_SHARE = 0.1
 #: Containers around a block that are told apart.
 DEEPEST = 50
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Elements left out up to their end tag; without one only the tag is.
+_EMBEDDED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("template", "svg", "select", "object")}
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = set("article body center div main section table tbody td tr ul ol dl".split())
@@ -63,14 +65,23 @@ class Page:
         self._open: list[tuple[str, tuple, bool, bool]] = [("", (("", 1.0),), False, False)]
         #: How many elements of each tag are open.
         self._count: dict[str, int] = defaultdict(int)
-        at = 0
-        for m in _TOKEN.finditer(html):
+        at, endless = 0, set()
+        while m := _TOKEN.search(html, at):
             if m.start() > at:
                 self._add(html[at:m.start()])
             at = m.end()
             tag = m[3]
             if tag:
                 tag = tag.lower()
+                if not m[2] and tag in ("svg", "math") and m[4].endswith("/"):
+                    continue
+                if tag in _EMBEDDED:
+                    end = None if m[2] or tag in endless else _EMBEDDED[tag].search(html, at)
+                    if end:
+                        at = end.end()
+                    elif not m[2]:
+                        endless.add(tag)
+                    continue
                 self._end(tag) if m[2] else self._start(tag, m[4])
         self._add(html[at:])
         self._flush()

@@ -26,6 +26,14 @@ def test_odd_markup():
         assert len(op.Page(deep).text([]).replace(" ", "")) > 29_900
 
 
+def test_embedded_elements():
+    for x, text in (("One <svg class='i'/> two</p><p>Three", "One two Three"), ("One <svg/> two <svg><text>no</text></svg>three", "One two three"),
+                    ("One <svg class=i> two</p><p>Three", "One two Three"), ("One <object data=x> two", "One two"), ("One <select> two", "One two"),
+                    ("Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be", "Let x=1 be"), ("One <math/> two", "One two"),
+                    ("One <object><p>no</p></object> two", "One two"), ("One <template><p>no</template> two", "One two")):
+        assert op.Page(f"<article><p>{x}</p></article>").text([]) == text
+
+
 def test_host_outvotes_one_page(spark):
     usual = '<div class="body"><p>%s</p></div><div class="extra"><p>%s</p></div>'
     data = [(i, "http://h.org/%d" % i, usual % ("main words here %d " % i * 20, "extra " * 3)) for i in range(9)]
