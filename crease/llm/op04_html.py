@@ -3,7 +3,8 @@
 First every page scores its containers (elements that hold blocks of text): a block's characters outside
 links count for the nearest container, and half for the one around it. Containers are named by their path of tags
 and classes, digits generalised. Spark adds up the pages' votes by host and path; then each page is
-extracted again from its host's best path that it has, or, if it has none, from its own best container. Menus, headers, footers,
+extracted again from its host's best path that it has, or, if it has none, from its own best container; an article or main
+around it is taken whole. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role, class and id.
 
 Defined results: null html is an empty page, with the empty text; pages without a host vote among themselves; rows are
@@ -52,6 +53,15 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
+def _whole(path: str) -> str:
+    """The path of the outermost article around ``path``, or else of the nearest main, or else ``path``."""
+    steps = path.split(">")
+    tags = [x.partition(".")[0] for x in steps]
+    if "article" in tags:
+        return ">".join(steps[:tags.index("article") + 1])
+    return ">".join(steps[:len(tags) - tags[::-1].index("main")]) if "main" in tags else path
+
+
 class Page:
     """The blocks of text of a page outside what is left out, and its containers by path."""
 
@@ -131,7 +141,7 @@ class Page:
                    or (tag == "article" and bool(re.search(r"(?:^|[-_\s])(?:comment|reply)", names, re.I))))
         out = out or tag in LEFT_OUT or (tag == "header" and not in_article)
         if tag in CONTAINERS and tag != "body" and len(chain) < DEEPEST:
-            step = ".".join([tag, *sorted(set(re.sub(r"\d+", "0", names).lower().split()))])
+            step = ".".join([tag, *sorted(set(re.sub(r"\d+", "0", names).replace(">", "").lower().split()))])
             # Containers of one name around each other are one, as are those beyond the depth and the last above it.
             if chain[-1][0].rpartition(">")[2] != step:
                 weight = 1.25 if tag in ("article", "main") or MAIN.search(names) else 1.0
@@ -179,7 +189,7 @@ class Page:
             if not self.score:
                 return ""
             path = min(self.score, key=lambda p: (-self.score[p], p.count(">"), p))
-        return " ".join(self.blocks[i] for i in self.inside[path])
+        return " ".join(self.blocks[i] for i in self.inside[_whole(path)])
 
 
 def host_of(url: Column) -> Column:

@@ -34,6 +34,15 @@ def test_embedded_elements():
         assert op.Page(f"<article><p>{x}</p></article>").text([]) == text
 
 
+def test_whole_article():
+    long = "long text of a section, " * 40
+    for x in ("<h1>Head</h1><p>intro<section><p>%s</section><section><p>end</section>", "<header><h1>Head</h1></header>intro<div class='entry-content'>%s</div>end",
+              "<h1>Head</h1><p>intro<ul class='a>b'><li>%s</ul>end", "<h1>Head</h1><p>intro<table><tr><td>%s</table>end"):
+        for outer in ("article", "main"):
+            page = op.Page(f"<div>top <a href=x>link</a></div><{outer}>{x % long}</{outer}><div>other</div>")
+            assert page.text([]) == page.text(sorted(page.score, key=page.score.get)[::-1]) == f"Head intro {long}end"
+
+
 def test_host_outvotes_one_page(spark):
     usual = '<div class="body"><p>%s</p></div><div class="extra"><p>%s</p></div>'
     data = [(i, "http://h.org/%d" % i, usual % ("main words here %d " % i * 20, "extra " * 3)) for i in range(9)]
