@@ -19,12 +19,14 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .common import free_name, table
 
 #: A path wins if it has this share of the votes of its host's best path.
 LEAST_SHARE = 0.1
+#: Paths of a host that are kept at most.
+MOST_PATHS = 64
 #: Containers around a block that are told apart.
 DEEPEST = 50
 _TOKEN = re.compile(
@@ -131,17 +133,18 @@ class Page:
         if tag in VOID:
             return
         _, chain, out, in_article = self._open[-1]
-        names = ""
+        names = classes = ""
         if rest.strip():
             a = _attributes(rest)
-            names = f"{a.get('class', '')} {a.get('id', '')}".strip()
+            classes = a.get("class", "")
+            names = f"{classes} {a.get('id', '')}".strip()
             out = (out or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
                    or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
                    or (tag not in ("html", "body", "article", "main") and bool(names) and bool(NAMES.search(names)))
                    or (tag == "article" and bool(re.search(r"(?:^|[-_\s])(?:comment|reply)", names, re.I))))
         out = out or tag in LEFT_OUT or (tag == "header" and not in_article)
         if tag in CONTAINERS and tag != "body" and len(chain) < DEEPEST:
-            step = ".".join([tag, *sorted(set(re.sub(r"\d+", "0", names).replace(">", "").lower().split()))])
+            step = ".".join([tag, *sorted(set(re.sub(r"\d+", "0", classes).replace(">", "").lower().split()))])
             # Containers of one name around each other are one, as are those beyond the depth and the last above it.
             if chain[-1][0].rpartition(">")[2] != step:
                 weight = 1.25 if tag in ("article", "main") or MAIN.search(names) else 1.0
@@ -196,27 +199,35 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
 
 
-def host_paths(pages: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, paths): the winning paths of each host, best first; the shorter and then the lower path on a tie."""
+def host_paths(pages: DataFrame, least_share: float = LEAST_SHARE, most: int = MOST_PATHS) -> DataFrame:
+    """(host, paths): at most ``most`` winning paths of each host, best first; the shorter and then the lower path on a tie.
+
+    Paths of one page alone are no consensus and do not count: such a page uses its own best container anyway.
+    """
     def vote(batches):
         for batch in batches:
-            votes: dict[tuple[str, str], int] = defaultdict(int)
+            votes: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for path, n in Page(html.as_py() or "").votes().items():
-                    votes[host, path] += n
+                    sums = votes[host, path]
+                    sums[0] += n
+                    sums[1] += 1
             hosts, paths = [h for h, _ in votes], [p for _, p in votes]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()),
-                                              pa.array(list(votes.values()), pa.int64())], ["host", "path", "votes"])
+                                              *[pa.array([x[i] for x in votes.values()], pa.int64()) for i in (0, 1)]],
+                                             ["host", "path", "votes", "pages"])
 
-    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes long")
-    summed = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    best = summed.groupBy("host").agg(F.max("votes").alias("best"))
+    cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes long, pages long")
+    summed = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages")).filter("pages > 1")
     depth = F.size(F.split("path", ">"))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), depth.alias("d"), "path")))
+    # The limit by host is applied before rows are shuffled by host.
+    first = Window.partitionBy("host").orderBy(F.desc("votes"), depth, "path")
+    top = summed.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= most)
+    ordered = F.sort_array(F.collect_list(F.struct("at", "votes", "path")))
+    best = lambda x: F.get(x, F.lit(0))["votes"]
     # The whole page wins only if nothing within it does better.
-    return (summed.join(best, "host").filter(F.col("votes") >= F.col("best") * least_share)
-            .filter("path <> '' OR votes = best")
-            .groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths")))
+    won = F.filter("all", lambda x: (x["votes"] >= best(F.col("all")) * least_share) & ((x["path"] != "") | (x["votes"] == best(F.col("all")))))
+    return top.groupBy("host").agg(ordered.alias("all")).select("host", F.transform(won, lambda x: x["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame, name: str = "text", **params) -> DataFrame:

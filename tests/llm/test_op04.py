@@ -43,6 +43,17 @@ def test_whole_article():
             assert page.text([]) == page.text(sorted(page.score, key=page.score.get)[::-1]) == f"Head intro {long}end"
 
 
+def test_paths_of_a_host_are_bounded(spark):
+    slug = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(3))
+    page = "<div id='page-%s'><div class='body'><p>%s</p></div></div><div class='x-%s'><p>extra %s</div>"
+    data = [("http://h.org/%d" % i, page % (slug(i), "main words " * 20, slug(i), "a long extra " * 30 * (i == 7))) for i in range(200)]
+    pages = spark.createDataFrame(data, "url string, html string")
+    paths = {r.host: r.paths for r in op.host_paths(pages).collect()}
+    assert paths["h.org"] == [">div>div.body", ">div"]
+    assert [r.paths for r in op.host_paths(pages, most=1).collect()] == [[">div>div.body"]]
+    assert all(r.text == ("main words " * 20).strip() for r in op.extract(pages).collect())
+
+
 def test_host_outvotes_one_page(spark):
     usual = '<div class="body"><p>%s</p></div><div class="extra"><p>%s</p></div>'
     data = [(i, "http://h.org/%d" % i, usual % ("main words here %d " % i * 20, "extra " * 3)) for i in range(9)]
