@@ -1,7 +1,7 @@
 """Line-first cleaning of documents, then rejection of documents that lose too much.
 
 A line with a word is removed if no sentence ends in it, if it has many symbols for its length, is a row of
-navigation links, or is a short line of boilerplate. Lines without a word stay. A document is
+navigation links, or is a short line of boilerplate, whose phrases are whole words. Lines without a word stay. A document is
 rejected if base rules fail (few words, many repeated three-word windows) or if the lines removed hold
 more than ``most_lost`` percent of the characters of its lines.
 
@@ -18,9 +18,12 @@ from .common import SPLIT, free_name, let, table
 
 SYMBOLS, BARS = "#*$%&|<>", "|»›·•"
 #: A word that may end a sentence or clause.
-SENTENCE_END = r"""[.!?…:;"”'’)\]»]([\x20\x09-\x0D]|\z)"""
+LATIN_END = r"""[.!?…:;"”'’)\]»]([\x20\x09-\x0D]|\z)"""
+#: The same with the ends of other scripts; Chinese and Japanese have no space after them.
+SENTENCE_END = LATIN_END.replace("»]", "»।॥۔؟؛։።፧፨」』）：；]") + "|[。．！？｡]"
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
                "uses cookies", "enable javascript", "click here", "sign up", "log in", "read more", "share this")
+PHRASES = rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(BOILERPLATE)})([^\p{{L}}\p{{N}}_]|\z)"
 MOST_SYMBOLS, LEAST_BARS, BOILERPLATE_WORDS, MOST_LOST, LEAST_WORDS, MOST_REPEATED = 5, 3, 30, 30, 50, 50
 
 
@@ -32,9 +35,7 @@ def _line(line: Column) -> Column:
     def judged(words: Column) -> Column:
         symbols = _count(line, SYMBOLS)
         low = F.lower(line)
-        phrase = F.contains(low, F.lit(BOILERPLATE[0]))
-        for p in BOILERPLATE[1:]:
-            phrase = phrase | F.contains(low, F.lit(p))
+        phrase = F.rlike(low, F.lit(PHRASES))
         fails = (F.size(words) > 0) & (
             ~F.rlike(line, F.lit(SENTENCE_END)) | (symbols * 100 > F.length(line) * MOST_SYMBOLS)
             | (_count(line, BARS) >= LEAST_BARS) | ((F.size(words) <= BOILERPLATE_WORDS) & phrase))
@@ -106,7 +107,7 @@ def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"[w for w in string_split_regex(line, '[\x20\x09-\x0D]+') if w <> '']"
-_SQL_END = SENTENCE_END.replace("'", "''")
+_SQL_END = LATIN_END.replace("'", "''")
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 a AS (SELECT r, generate_subscripts(s, 1) AS k, unnest(s) AS line FROM (SELECT r, string_split(text, chr(10)) AS s FROM d)),

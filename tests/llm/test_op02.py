@@ -46,6 +46,15 @@ def test_equal_to_brute_force(spark, tmp_path):
     assert op.clean(df.limit(0)).collect() == []
 
 
+def test_clean_lines_stay(spark):
+    lines = ["my blog in March was long.", "We redesign upset plans.", "The fires spread more quickly.", "यह एक साफ वाक्य है।", "یہ ایک جملہ ہے۔", "هل هذا نص؟",
+             "Սա նախադասություն է։", "ይህ ዓረፍተ ነገር ነው።", "这是一句话。", "これは文です。続く"]
+    bad = ["Read more.", "Please log in, or sign up.", "कोई अंत नहीं", "没有结尾"]
+    good = " ".join(f"word{i} goes, on." for i in range(200))
+    df = spark.createDataFrame([(1, "\n".join([good, *lines, *bad]))], "doc_id long, text string")
+    assert [r.text for r in op.clean(df).collect()] == ["\n".join([good, *lines])]
+
+
 def test_given_documents(spark):
     path = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
