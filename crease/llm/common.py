@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -91,3 +91,42 @@ def thinned(df: DataFrame, key: str, keys: DataFrame, bits: int = 24) -> DataFra
               .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot(k))).alias(marks)))
     met = df.withColumn(word, F.shiftright(place(F.col(key)), 6)).join(F.broadcast(marked), word)
     return met.filter(F.call_function("shiftright", F.col(marks), slot(F.col(key))).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
+
+
+def ordered(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str, total: str) -> DataFrame:
+    """Add ``rank``, the place 0, 1, 2, ... in ``order`` within ``group``, and ``total``, the rows of the group.
+
+    Unlike ``ranked`` it follows ``order`` over the whole group: rows are dealt into ranges of (group, order), sorted there
+    and written with their place in the range; rows of a group in earlier ranges are counted and added. A group of
+    any size, and one row repeated very often, spread over many ranges. Rows equal in ``order`` follow the input's order.
+    ``df`` should be a table that is cheap to read twice; the columns of ``group`` must not be null.
+    """
+    spark = df.sparkSession
+    salt, part, at, before = (free_name(df, x) for x in ("_salt", "_range", "_at", "_before"))
+    by = [*group, *order, salt]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumn(salt, F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    # The id grows by one from row to row of a sorted partition.
+    placed = placed.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()).drop(salt)
+    placed = written(placed, "ordered")
+    counts = placed.groupBy(*group, part).agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row a group and range.
+    whole = Window.partitionBy(*group)
+    up_to = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, part, (F.coalesce(F.sum("_n").over(up_to), F.lit(0)) - F.col("_first")).alias(before),
+                            F.sum("_n").over(whole).alias(total))
+    return placed.join(offsets, [*group, part]).select(*df.columns, (F.col(at) + F.col(before)).alias(rank), total)
+
+
+def groups(batches, n: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of each run of rows that agree in the first ``n`` columns of Arrow batches; holds one run."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            if row[:n] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:n], []
+            rows.append(row[n:])
+    if rows:
+        yield key, rows

@@ -12,6 +12,9 @@ from .op07_sharding import op7_rendezvous
 from .op08_packing import op8_cutting_stock
 from .op09_toxicity import op9_subword_softmax
 from .op10_lines import op10_fuzzy_lines
+from .op11_minhash import op11_tensored_minhash
+from .op12_merkle import op12_merkle_manifest
+from .op13_trie import op13_prefix_trie
 
 QUERIES = {f.__name__: f for f in (
     op1_prefix_forest,
@@ -24,5 +27,8 @@ QUERIES = {f.__name__: f for f in (
     op8_cutting_stock,
     op9_subword_softmax,
     op10_fuzzy_lines,
+    op11_tensored_minhash,
+    op12_merkle_manifest,
+    op13_prefix_trie,
 )}
 ORACLES = {"op2_line_first_cleaning": OP2_SQL, "op5_systematic_mix": OP5_SQL}
