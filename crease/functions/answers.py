@@ -244,9 +244,12 @@ def normalize_answer(col) -> Column:
 
 
 def normalize_cell(col) -> Column:
-    """Cell to trimmed lower-case text, NULL -> 'none'."""
+    """Cell to trimmed lower-case text, numbers as Python prints them, NULL -> 'none'."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.lower(strip(c.cast("string"))), F.lit("none"))
+    text = c.cast("string")
+    # The type is known when the plan is made, so one branch is left.
+    shown = F.when(F.typeof(c).isin("double", "float"), float_text(text.try_cast("double"))).otherwise(text)
+    return F.coalesce(F.lower(strip(shown)), F.lit("none"))
 
 
 def float_text(num: Column) -> Column:
@@ -257,7 +260,8 @@ def float_text(num: Column) -> Column:
         short = F.concat(F.regexp_replace(digits, r"\.0$", ""), F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
                          F.lpad(F.abs(power).cast("string"), 2, "0"))
         long = F.regexp_replace(num.cast("decimal(38,16)").cast("string"), r"(\.\d+?)0+$", "$1")
-        return F.when(~F.contains(text, F.lit("E")), text).when((power >= 16) | (power < -4), short).otherwise(
+        return F.when(F.isnan(num), F.lit("nan")).when(text.endswith("Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf"))).when(
+            ~F.contains(text, F.lit("E")), text).when((power >= 16) | (power < -4), short).otherwise(
             F.when(power >= 7, long).otherwise(plain))
 
     return let(num.cast("string"), printed)

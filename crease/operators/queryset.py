@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.session import checkpoint_dir
@@ -87,7 +88,7 @@ def schema_text(spark: SparkSession, database: str | None = None) -> str:
     try:
         lines = []
         for t in sorted(spark.catalog.listTables(database), key=lambda t: t.name):
-            cols = spark.catalog.listColumns(t.name, database)
+            cols = spark.catalog.listColumns(f"{database}.{t.name}" if database else t.name)
             lines.append(f"CREATE TABLE {t.name} (" + ", ".join(f"{c.name} {c.dataType}" for c in cols) + ");")
         return "\n".join(lines)
     except Exception as exc:  # noqa: BLE001
@@ -119,9 +120,13 @@ class _Deadline:
         self.sc.removeJobTag(self.tag)
 
 
-def run_query(spark: SparkSession, key: str, sql: str | None, rows_path: str,
-              timeout_s: float = DEFAULT_TIMEOUT_S) -> QueryOutcome:
-    """Q1/Q2/Q4/Q5: one statement; all its rows go to the table at ``rows_path``.
+def json_row(cells: DataFrame) -> Column:
+    return F.to_json(F.struct(*cells.columns), {"ignoreNullFields": "false"})
+
+
+def run_query(spark: SparkSession, key: str, sql: str | None, rows_path: str, timeout_s: float = DEFAULT_TIMEOUT_S,
+              row_of: Callable[[DataFrame], Column] = json_row) -> QueryOutcome:
+    """Q1/Q2/Q4/Q5: one statement; all its rows, as the texts of ``row_of``, go to the table at ``rows_path``.
 
     A statement that has not ended by the deadline timed out, whatever becomes of it afterwards.
     """
@@ -138,8 +143,7 @@ def run_query(spark: SparkSession, key: str, sql: str | None, rows_path: str,
             headers = df.columns
             # By position, as names in a header may repeat.
             cells = df.toDF(*[f"c{i}" for i in range(len(headers))])
-            row = F.to_json(F.struct(*cells.columns), {"ignoreNullFields": "false"})
-            cells.select(F.lit(key).alias("key"), F.monotonically_increasing_id().alias("row_no"), row.alias("row")).write.parquet(path)
+            cells.select(F.lit(key).alias("key"), F.monotonically_increasing_id().alias("row_no"), row_of(cells).alias("row")).write.parquet(path)
             n = spark.read.schema(ROW_SCHEMA).parquet(path).count()
             outcome = QueryOutcome(key, "ok", headers, n)
         except Exception as exc:  # noqa: BLE001 - analysis and execution errors are results
@@ -147,16 +151,17 @@ def run_query(spark: SparkSession, key: str, sql: str | None, rows_path: str,
     return QueryOutcome(key, "timeout", [], message=TIMEOUT_TEXT) if deadline.passed else outcome
 
 
-def run_query_set(spark: SparkSession, statements: list[tuple[str, str]], timeout_s: float = DEFAULT_TIMEOUT_S,
+def run_query_set(spark: SparkSession, statements: list[tuple], timeout_s: float = DEFAULT_TIMEOUT_S,
                   parallelism: int = 4, rows_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Run (key, sql) pairs concurrently (FAIR scheduling recommended): (status table, table of all rows).
 
+    A third element of a statement is its own time limit in seconds, in place of ``timeout_s``.
     Job tags are thread-local, so each worker thread tags and cancels only its own jobs. ``row_no`` grows in the order of a
     statement's result. The rows of statements that failed on the way are left out.
     """
     rows_path = rows_path or f"{checkpoint_dir(spark).rstrip('/')}/queryset-{uuid.uuid4().hex}"
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        outcomes = list(pool.map(lambda s: run_query(spark, s[0], s[1], rows_path, timeout_s), statements))
+        outcomes = list(pool.map(lambda s: run_query(spark, s[0], s[1], rows_path, *(s[2:] or (timeout_s,))), statements))
     # One row per statement of the set.
     status = spark.createDataFrame([(o.key, o.status, o.headers, o.n_rows, o.message) for o in outcomes], STATUS_SCHEMA)
     status = status.withColumn("result", F.when(F.col("status") == "timeout", F.lit(TIMEOUT_TEXT)).when(

@@ -1,4 +1,4 @@
-"""Registered evaluation queries (E1-E13, U1, A15-A23, Q8) and their oracles.
+"""Registered evaluation queries (E1-E13, A15-A23, Q8) and their oracles.
 
 The oracle rebuilds gold and generated rows directly from ``lineitem`` (no
 text parsing) and scores them with joins: generated row names are unique per
@@ -13,10 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators import reports as R
-from crease.operators.compare import grade_status, set_equal
-from crease.functions.answers import normalize_cell
 from crease.sources import eval_fixtures as X
-from crease.sources.tables import table
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,41 +52,6 @@ def q_complexity(spark, sf_dir):
     return R.complexity_counts(X.gold_dataset(spark, sf_dir))
 
 
-# --- set-equality grading (cross-domain style) -------------------------------
-
-def grading_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E10 + U1 per (model, item): sets of normalised rows (X13) compared whole."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), *X.LINE_ORDER, "l_quantity")
-    gold_rows = li.select("id", F.concat_ws("|", normalize_cell(X.row_name()), normalize_cell("l_quantity"))
-                          .alias("row_text"))
-    gen = X.generated_lines(spark, sf_dir)
-    gen_rows = gen.select("m", "id", F.concat_ws("|", normalize_cell("name"), normalize_cell("qty")).alias("row_text"))
-    gold_sets = gold_rows.groupBy("id").agg(F.collect_set("row_text").alias("gold_set"))
-    gen_sets = gen_rows.groupBy("m", "id").agg(F.collect_set("row_text").alias("gen_set"))
-    items = o.withColumn("m", F.explode(X.model_indexes()))
-    j = items.join(gold_sets, "id", "left").join(gen_sets, ["m", "id"], "left")
-    empty = F.array().cast("array<string>")
-    key = F.col("id") + F.col("m")
-    status = grade_status(
-        db_present=(F.col("o_custkey") % 10) != 0,
-        gold_status=F.when(F.col("id") % 23 == 0, "error").otherwise("ok"),
-        gen_status=F.when(key % 29 == 0, "timeout").when(key % 17 == 0, "error").otherwise("ok"),
-        equal=set_equal(F.coalesce("gold_set", empty), F.coalesce("gen_set", empty)))
-    return j.select(X._pick(X.MODELS, F.col("m")).alias("model"), "id", status.alias("status"))
-
-
-def grading_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total, exec rate (EXEC_ERROR and TIMEOUT fail execution), accuracy."""
-    g = grading_items(spark, sf_dir)
-    return (g.groupBy("model").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("status") == "CORRECT").alias("correct"),
-        F.count_if(F.col("status").isin("EXEC_ERROR", "TIMEOUT")).alias("exec_errors"))
-        .withColumn("exec_rate_pct", F.round((F.col("total") - F.col("exec_errors")) * 100.0 / F.col("total"), 6))
-        .withColumn("accuracy_pct", F.round(F.col("correct") * 100.0 / F.col("total"), 6)))
-
-
 QUERIES = {
     "eval_item_scores": q_item_scores,
     "eval_model_summary": q_model_summary,
@@ -99,8 +61,6 @@ QUERIES = {
     "eval_report_lines": q_report_lines,
     "eval_string_errors": q_string_errors,
     "eval_complexity": q_complexity,
-    "grading_items": grading_items,
-    "grading_summary": grading_summary,
 }
 
 
@@ -324,33 +284,3 @@ FROM tot t LEFT JOIN errs e ON e.model = t.model"""
 
 
 ORACLES["eval_string_errors"] = _string_errors_sql()
-
-_GRADE_BASE = f"""
-WITH om AS (SELECT o_orderkey AS id, o_custkey, 0 AS m FROM orders UNION ALL SELECT o_orderkey, o_custkey, 1 FROM orders),
-gr AS (SELECT l_orderkey AS id, lower(trim({_NAME})) || '|' || lower(trim(CAST(l_quantity AS VARCHAR))) AS row_text
-       FROM lineitem),
-vr AS (SELECT m, l_orderkey AS id, lower(trim({_NAME})) || '|' ||
-              lower(trim(CAST(l_quantity + CAST((l_partkey + m) % 4 AS DOUBLE) * 0.5 AS VARCHAR))) AS row_text
-       FROM (SELECT *, 0 AS m FROM lineitem UNION ALL SELECT *, 1 AS m FROM lineitem) x
-       WHERE (l_partkey + m) % 11 <> 0),
-gs AS (SELECT id, list_sort(list_distinct(list(row_text))) AS s FROM gr GROUP BY id),
-vs AS (SELECT m, id, list_sort(list_distinct(list(row_text))) AS s FROM vr GROUP BY m, id),
-items AS (
-  SELECT {_case(X.MODELS, 'om.m')} AS model, om.id,
-         CASE WHEN om.o_custkey % 10 = 0 THEN 'DB_MISSING'
-              WHEN (om.id + om.m) % 29 = 0 THEN 'TIMEOUT'
-              WHEN (om.id + om.m) % 17 = 0 THEN 'EXEC_ERROR'
-              WHEN om.id % 23 = 0 THEN 'GOLD_ERROR'
-              WHEN COALESCE(gs.s, []::VARCHAR[]) = COALESCE(vs.s, []::VARCHAR[]) THEN 'CORRECT'
-              ELSE 'INCORRECT' END AS status
-  FROM om LEFT JOIN gs ON gs.id = om.id LEFT JOIN vs ON vs.id = om.id AND vs.m = om.m)
-"""
-
-ORACLES["grading_items"] = _GRADE_BASE + "SELECT model, id, status FROM items"
-ORACLES["grading_summary"] = _GRADE_BASE + """
-SELECT model, COUNT(*) AS total, COUNT(CASE WHEN status = 'CORRECT' THEN 1 END) AS correct,
-       COUNT(CASE WHEN status IN ('EXEC_ERROR', 'TIMEOUT') THEN 1 END) AS exec_errors,
-       ROUND((COUNT(*) - COUNT(CASE WHEN status IN ('EXEC_ERROR', 'TIMEOUT') THEN 1 END)) * 100.0 / COUNT(*), 6)
-         AS exec_rate_pct,
-       ROUND(COUNT(CASE WHEN status = 'CORRECT' THEN 1 END) * 100.0 / COUNT(*), 6) AS accuracy_pct
-FROM items GROUP BY model"""

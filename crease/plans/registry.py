@@ -11,6 +11,7 @@ _MODULES = (
     "crease.plans.cricket_queries",
     "crease.plans.ingest_queries",
     "crease.plans.eval_queries",
+    "crease.plans.grading_queries",
     "crease.plans.dataset_queries",
     "crease.plans.run_queries",
 )

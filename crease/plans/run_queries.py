@@ -16,6 +16,7 @@ from crease.operators.ingest import ingest
 from crease.operators.queryset import run_query_set, validation_counts
 from crease.plans.dataset_queries import _raw_outputs, sql_cleaning
 from crease.plans.eval_queries import _BASE, _case, _case_text, ORACLES as EVAL_ORACLES
+from crease.plans.grading_queries import ENDLESS, SHORT
 from crease.plans.ingest_queries import _INGEST_CTES
 from crease.plans.oracle_base import with_adapter
 from crease.session import checkpoint_dir
@@ -23,13 +24,14 @@ from crease.sources import eval_fixtures as X
 from crease.sources.match_docs import build_match_documents, docs_from_json
 from crease.sources.tables import register_views, table
 
-#: Statements of the query set: large and small results, an error, and two that are refused.
+#: Statements of the query set: large and small results, an error, two that are refused, and one that its time limit ends.
 STATEMENTS = [
     ("all_orders", "SELECT o_orderkey, o_orderstatus FROM orders"),
     ("returned_parts", "-- parts sent back\nSELECT l_partkey, COUNT(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey;"),
     ("no_column", "SELECT no_such_column FROM orders"),
     ("drop_it", "DROP VIEW orders"),
     ("insert_it", "WITH x AS (SELECT 1 AS a) INSERT INTO orders SELECT a FROM x"),
+    ("endless", ENDLESS, SHORT),
 ]
 
 
@@ -44,7 +46,10 @@ def queryset_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queryset_status(spark, sf_dir):
-    return _query_set(spark, sf_dir)[0].select("key", "status", F.array_join("headers", ",").alias("headers"), "n_rows")
+    """Q4/Q5: status and result text of every statement; of Spark's own message its class."""
+    result = F.regexp_extract("result", r"^(ERROR: Query Timed Out|EXECUTION_ERROR: (?:\[[A-Z_.]+\]|only queries are run))", 1)
+    return _query_set(spark, sf_dir)[0].select("key", "status", F.array_join("headers", ",").alias("headers"), "n_rows",
+                                               F.coalesce(result, F.lit("")).alias("result"))
 
 
 def queryset_counts(spark, sf_dir):
@@ -177,10 +182,13 @@ ORACLES = {
 SELECT 'all_orders' AS key, '{"c0":' || o_orderkey || ',"c1":"' || o_orderstatus || '"}' AS row FROM orders
 UNION ALL SELECT 'returned_parts', '{"c0":' || l_partkey || ',"c1":' || COUNT(*) || '}' FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey""",
     "queryset_status": """
-SELECT 'all_orders' AS key, 'ok' AS status, 'o_orderkey,o_orderstatus' AS headers, (SELECT COUNT(*) FROM orders) AS n_rows
-UNION ALL SELECT 'returned_parts', 'ok', 'l_partkey,n', (SELECT COUNT(DISTINCT l_partkey) FROM lineitem WHERE l_returnflag = 'R')
-UNION ALL SELECT 'no_column', 'error', '', 0 UNION ALL SELECT 'drop_it', 'refused', '', 0 UNION ALL SELECT 'insert_it', 'refused', '', 0""",
-    "queryset_counts": "SELECT 2::BIGINT AS success, 3::BIGINT AS errors",
+SELECT 'all_orders' AS key, 'ok' AS status, 'o_orderkey,o_orderstatus' AS headers, (SELECT COUNT(*) FROM orders) AS n_rows, '' AS result
+UNION ALL SELECT 'returned_parts', 'ok', 'l_partkey,n', (SELECT COUNT(DISTINCT l_partkey) FROM lineitem WHERE l_returnflag = 'R'), ''
+UNION ALL SELECT 'no_column', 'error', '', 0, 'EXECUTION_ERROR: [UNRESOLVED_COLUMN.WITH_SUGGESTION]'
+UNION ALL SELECT 'drop_it', 'refused', '', 0, 'EXECUTION_ERROR: only queries are run'
+UNION ALL SELECT 'insert_it', 'refused', '', 0, 'EXECUTION_ERROR: only queries are run'
+UNION ALL SELECT 'endless', 'timeout', '', 0, 'ERROR: Query Timed Out'""",
+    "queryset_counts": "SELECT 2::BIGINT AS success, 4::BIGINT AS errors",
     "eval_from_files": EVAL_ORACLES["eval_item_scores"],
     "gold_positions": f"""
 SELECT CAST(floor(o_orderkey / 16) AS BIGINT) AS block,
