@@ -8,9 +8,11 @@ before it and three numbers come out of it.
 from __future__ import annotations
 
 import ast
-from bisect import bisect_left, bisect_right
 from collections import defaultdict, namedtuple
+from itertools import product
+from math import floor, isfinite
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,72 +108,77 @@ def cell_match(gold: Cell, gen: Cell, kind: str) -> bool:
     return abs(gold.num - gen.num) <= TOLERANCE
 
 
-class _FirstOf:
-    """Smallest row number in a range of positions, with removal, in logarithmic time."""
-
-    def __init__(self, rows: list[int]):
-        self.n = len(rows)
-        self.none = max(rows, default=0) + 1
-        self.tree = [self.none] * self.n + rows
-        for i in range(self.n - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
-
-    def put(self, at: int, row: int) -> None:
-        at += self.n
-        self.tree[at] = row
-        while at > 1:
-            at //= 2
-            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
-
-    def first(self, low: int, high: int) -> int | None:
-        best, low, high = self.none, low + self.n, high + self.n
-        while low < high:
-            if low & 1:
-                best, low = min(best, self.tree[low]), low + 1
-            if high & 1:
-                high -= 1
-                best = min(best, self.tree[high])
-            low, high = low // 2, high // 2
-        return None if best == self.none else best
-
-
-class _Bucket:
-    """Generated rows that agree in width, NULLs and STRING cells, found by the cell of one further column."""
-
-    def __init__(self, gen: list[list[Cell]], rows: list[int], column: int | None):
-        self.column = column
-        key = (lambda i: 0.0) if column is None else (lambda i: gen[i][column].num)
-        # Rows without a number (or with one that is not equal to itself) can only match by text.
-        numbered = sorted((k, i) for i in rows if (k := key(i)) is not None and k == k)
-        self.nums, order = [k for k, _ in numbered], [i for _, i in numbered]
-        self.at, self.by_num = {i: p for p, i in enumerate(order)}, _FirstOf(order)
-        self.by_text = defaultdict(list)
-        if column is not None:
-            for i in rows:
-                self.by_text[gen[i][column].text].append(i)
-
-    def take(self, row: list[Cell], fits, used: list[bool]) -> bool:
-        cell = None if self.column is None else row[self.column]
-        if cell is not None and (cell.kind == "str" or cell.num is None):
-            found = next((i for i in self.by_text.get(cell.text, ()) if not used[i] and fits(i)), None)
-        else:
-            span = (0, len(self.nums)) if cell is None else (
-                bisect_left(self.nums, cell.num - TOLERANCE - 1), bisect_right(self.nums, cell.num + TOLERANCE + 1))
-            tried = []
-            while (found := self.by_num.first(*span)) is not None and not fits(found):
-                tried.append(found)
-                self.by_num.put(self.at[found], self.by_num.none)
-            for i in tried:
-                self.by_num.put(self.at[i], i)
-            if cell is not None:
-                # A number written so that it does not read as one may still have the same text.
-                other = next((i for i in self.by_text.get(cell.text, ()) if i not in self.at and not used[i] and fits(i)), None)
-                found = min((i for i in (found, other) if i is not None), default=None)
-        if found is None:
+class _Group:
+    """Generated rows that agree in width, NULLs and STRING cells, with numpy columns for the other cells.
+
+    Up to ``AXES`` numeric columns, those with the most different values, form a grid: numbers within the tolerance lie in
+    the same or in neighbouring cells, so a row meets those of 3 ** AXES cells only, in row order.
+    """
+
+    AXES = 3
+    #: A little over the tolerance, so that a difference rounded down to it is no more than a cell.
+    CELL = TOLERANCE * 1.001
+
+    def __init__(self, gen: list[list[Cell]], rows: list[int], free: list[int]):
+        self.free, self.n = free, len(rows)
+        self.alive, self.left = np.ones(self.n, dtype=bool), self.n
+        cells = {c: [gen[i][c] for i in rows] for c in free}
+        self.text = {c: np.array([x.text for x in cells[c]], dtype=object) for c in free}
+        self.none = {c: np.array([x.num is None for x in cells[c]], dtype=bool) for c in free}
+        self.num = {c: np.array([np.nan if x.num is None else x.num for x in cells[c]], dtype=float) for c in free}
+        finite = [c for c in free if np.isfinite(self.num[c]).all()]
+        self.axes = sorted(finite, key=lambda c: -len(np.unique(self.num[c])))[:self.AXES]
+        self.first, self.grid, self.texts = 0, defaultdict(list), {}
+        if self.axes:
+            places = np.floor(np.stack([self.num[c] for c in self.axes], axis=1) / self.CELL)
+            for i, place in enumerate(map(tuple, places.tolist())):
+                self.grid[place].append(i)
+
+    def candidates(self, row: list[Cell]) -> np.ndarray:
+        """Rows that may match, in row order; dead ones may be among them."""
+        exact = [c for c in self.free if row[c].kind == "str" or row[c].num is None]
+        if self.axes and not any(c in exact or not isfinite(row[c].num) for c in self.axes):
+            at = [floor(row[c].num / self.CELL) for c in self.axes]
+            cells = [(tuple(map(float, map(sum, zip(at, step))))) for step in product((-1, 0, 1), repeat=len(at))]
+            found = []
+            for cell in cells:
+                rows = self.grid.get(cell)
+                if rows:
+                    rows[:] = [i for i in rows if self.alive[i]]
+                    found += rows
+            return np.sort(np.array(found, dtype=np.int64))
+        if exact:
+            c = max(exact, key=lambda c: len(self._by_text(c)))
+            return np.array(self._by_text(c).get(row[c].text, ()), dtype=np.int64)
+        return np.arange(self.n)
+
+    def _by_text(self, c: int) -> dict:
+        if c not in self.texts:
+            self.texts[c] = defaultdict(list)
+            for i, text in enumerate(self.text[c]):
+                self.texts[c][text].append(i)
+        return self.texts[c]
+
+    def take(self, row: list[Cell]) -> bool:
+        """Use up the first row that is left and matches; whether there was one."""
+        if not self.left:
             return False
-        used[found] = True
-        if found in self.at:
-            self.by_num.put(self.at[found], self.by_num.none)
+        if not self.free:
+            self.alive[self.first], self.first, self.left = False, self.first + 1, self.left - 1
+            return True
+        at = self.candidates(row)
+        at = at[self.alive[at]]
+        for c in self.free:
+            cell = row[c]
+            same = self.text[c][at] == cell.text
+            if cell.kind != "str" and cell.num is not None:
+                with np.errstate(invalid="ignore"):
+                    near = np.abs(self.num[c][at] - cell.num) <= TOLERANCE
+                same = np.where(self.none[c][at], same, near)
+            at = at[same.astype(bool)]
+            if not len(at):
+                return False
+        self.alive[at[0]], self.left = False, self.left - 1
         return True
 
 
@@ -185,20 +192,18 @@ def greedy_matches(gold: list[list[Cell]], gen: list[list[Cell]], types: list[st
     def key(row):
         return tuple((x.kind == "null", x.text if kind(c) == "STRING" else None) for c, x in enumerate(row))
 
-    groups = defaultdict(list)
+    rows = defaultdict(list)
     for i, row in enumerate(gen):
-        groups[key(row)].append(i)
-    buckets, used, n = {}, [False] * len(gen), 0
+        rows[key(row)].append(i)
+    groups: dict[tuple, _Group] = {}
+    n = 0
     for row in gold:
         k = key(row)
-        if k not in groups:
+        if k not in rows:
             continue
-        if k not in buckets:
-            free = [c for c, (null, text) in enumerate(k) if not null and text is None]
-            # The column with the most different texts leaves the fewest rows to try.
-            column = max(free, key=lambda c: len({gen[i][c].text for i in groups[k]}), default=None)
-            buckets[k] = _Bucket(gen, groups[k], column)
-        n += buckets[k].take(row, lambda i: all(cell_match(g, v, kind(c)) for c, (g, v) in enumerate(zip(row, gen[i]))), used)
+        if k not in groups:
+            groups[k] = _Group(gen, rows[k], [c for c, (null, text) in enumerate(k) if not null and text is None])
+        n += groups[k].take(row)
     return n
 
 
@@ -217,6 +222,112 @@ def compare_answers(gold: pd.Series, generated: pd.Series, types: pd.Series) ->
     return pd.DataFrame(out, columns=["executed", "n_gold", "n_gen", "matches"])
 
 
+# --- E1 and E5 of common answers as expressions ------------------------------
+
+#: A cell that Spark reads as Python does: a quoted text without escapes, a plain number that Python prints as it stands, or None.
+#: Two letters are left out whose lower case depends on the reader.
+PLAIN_CELL = (r"""^(?:'[^'\\\n\r\x00\u0130\u03A3]*'|"[^"\\\n\r\x00\u0130\u03A3]*"|-?[1-9][0-9]{0,14}|0|-?(?:0|[1-9][0-9]{0,9})\.(?:0|[0-9]{0,3}[1-9])|None)$""")
+_CELL = "struct<quoted:boolean,text:string,num:double>"
+
+
+def _plain_row(text: Column) -> Column:
+    """The cells of a row between its parentheses; null if one of them is not plain."""
+    # A quote inside a text ends it, so a separator inside one leaves a piece that is no plain cell.
+    cells = F.split(F.regexp_replace(text, ",$", ""), ", ")
+
+    def cell(c: Column) -> Column:
+        quoted = F.substring(c, 1, 1).isin("'", '"')
+        shown = F.when(quoted, strip(F.lower(F.substring(c, F.lit(2), F.length(c) - 2)))).when(c != "None", c)
+        return F.struct(quoted.alias("quoted"), shown.alias("text"), F.when(~quoted, c.try_cast("double")).alias("num"))
+
+    # A text alone between parentheses is no tuple.
+    tuple_ = (F.size(cells) > 1) | text.endswith(",")
+    return F.when(tuple_ & F.forall(cells, lambda c: F.rlike(c, F.lit(PLAIN_CELL))), F.transform(cells, cell))
+
+
+def _inside(text: Column, left: str, right: str) -> tuple[Column, Column]:
+    """The text without its first and last character, and whether these are ``left`` and ``right``."""
+    return F.substring(text, F.lit(2), F.length(text) - 2), text.startswith(left) & text.endswith(right) & (F.length(text) >= 2)
+
+
+def plain_lines(lines: Column) -> Column:
+    """Rows of a gold answer whose lines are tuples of plain cells, else null."""
+    row = lambda t: F.when(_inside(t, "(", ")")[1], _plain_row(_inside(t, "(", ")")[0]))
+    return let(F.transform(lines, row), lambda rows: F.when(F.forall(rows, lambda r: r.isNotNull()), rows))
+
+
+def plain_answer(text: Column) -> Column:
+    """Rows of a generated answer that is a list of tuples of plain cells, else null."""
+    def rows(inner: Column) -> Column:
+        body, tuples = _inside(inner, "(", ")")
+        found = F.transform(F.split(body, r"\), \("), _plain_row)
+        none = F.array().cast(f"array<array<{_CELL}>>")
+        return F.when(inner == "", none).when(tuples, let(found, lambda f: F.when(F.forall(f, lambda r: r.isNotNull()), f)))
+
+    inner, listed = _inside(text, "[", "]")
+    return F.when(listed, let(inner, rows))
+
+
+def is_failed(text: Column) -> Column:
+    """An answer with a failure marker."""
+    hit = F.lit(False)
+    for m in FAILURE_MARKERS:
+        hit = hit | F.contains(text, F.lit(m))
+    return F.coalesce(hit, F.lit(False))
+
+
+def compare_plain(gold: Column, generated: Column, types: Column, n_gold: Column) -> Column:
+    """struct(plain, executed, n_gold, n_gen, matches): E1, E2 and E5 where they need no order, ``plain`` false elsewhere.
+
+    ``gold`` holds the rows of ``plain_lines``, ``generated`` the other answer's text. A column is compared as text if its class is STRING or all its gold cells are
+    quoted, as number if no cell of it is quoted. With different texts in every row, on either side, a row has
+    one partner at most and the greedy order does not matter: both sides are sorted together by width and texts, and partners stand side by side.
+    """
+    def compared(v: Column) -> Column:
+        g, r = v["g"], v["r"]
+        width = F.coalesce(F.array_max(F.transform(F.concat(g, r), lambda row: F.size(row))), F.lit(0))
+        columns = F.sequence(F.lit(0), width - 1)
+        cells = lambda rows, c: F.filter(F.transform(rows, lambda row: F.get(row, c)), lambda x: x["text"].isNotNull())
+        # 1: text, 2: number, 0: neither for sure.
+        kind = lambda c: F.when(F.coalesce(F.get(types, c), F.lit(DEFAULT_TYPE)) == "STRING", 1).when(
+            F.forall(cells(g, c), lambda x: x["quoted"]), 1).when(F.forall(F.concat(cells(g, c), cells(r, c)), lambda x: ~x["quoted"]), 2).otherwise(0)
+        kinds = F.when(width > 0, F.transform(columns, kind)).otherwise(F.array().cast("array<int>"))
+
+        def matched(k: Column) -> Column:
+            shown = lambda row: F.transform(row, lambda x, i: F.when(F.get(k, i) == 1, F.coalesce(F.concat(F.lit("t"), x["text"]), F.lit("n")))
+                                            .otherwise(F.lit("")))
+            nums = lambda row: F.transform(row, lambda x, i: F.when(F.get(k, i) == 2, x["num"]))
+            side = lambda rows, s: F.transform(rows, lambda row: F.struct(shown(row).alias("key"), F.lit(s).alias("side"), nums(row).alias("nums")))
+
+            def paired(s: Column) -> Column:
+                next_ = lambda i: F.get(s, i + 1)
+                at = F.sequence(F.lit(0), F.greatest(F.size(s) - 2, F.lit(0)))
+                same = lambda i: F.coalesce(F.get(s, i)["key"] == next_(i)["key"], F.lit(False))
+                near = lambda i: F.forall(F.arrays_zip(F.get(s, i)["nums"].alias("a"), next_(i)["nums"].alias("b")), lambda z:
+                                          (z["a"].isNull() & z["b"].isNull()) | F.coalesce(F.abs(z["a"] - z["b"]) <= TOLERANCE, F.lit(False)))
+                twice = F.exists(at, lambda i: same(i) & (F.get(s, i)["side"] == next_(i)["side"]))
+                n = F.size(F.filter(at, lambda i: same(i) & (F.get(s, i)["side"] < next_(i)["side"]) & near(i)))
+                return F.struct((~twice).alias("plain"), n.alias("n"))
+
+            sorted_ = F.array_sort(F.concat(side(g, 0), side(r, 1)))
+            return F.when(F.forall(k, lambda x: x > 0), let(sorted_, paired))
+
+        return let(kinds, matched)
+
+    def outcome(v: Column) -> Column:
+        g, r = v["g"], v["r"]
+        struct = lambda plain, executed, n_gen, n: F.struct(plain.alias("plain"), F.lit(executed).alias("executed"), n_gold.alias("n_gold"),
+                                                            n_gen.alias("n_gen"), n.alias("matches"))
+        zero, yes = F.lit(0), F.lit(True)
+        read = let(F.when(g.isNotNull() & r.isNotNull() & (F.size(g) > 0) & (F.size(r) > 0), compared(v)), lambda m: struct(
+            F.coalesce(m["plain"], F.lit(False)), True, F.coalesce(F.size(r), zero), F.coalesce(m["n"], zero)))
+        return F.when(v["failed"], struct(yes, False, zero, zero)).when(r.isNotNull() & (F.size(r) == 0) | r.isNotNull() & (n_gold == 0), struct(
+            yes, True, F.size(r), zero)).otherwise(read)
+
+    failed = is_failed(generated)
+    return let(F.struct(gold.alias("g"), F.when(~failed, plain_answer(generated)).alias("r"), failed.alias("failed")), outcome)
+
+
 # --- X9 / X13: text normalisation -------------------------------------------
 
 ERROR_FLAG = "ERROR_FLAG"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.functions.answers import normalize_answer
+from crease.functions.answers import normalize_answer, plain_lines
 from crease.operators.compare import score_items
 from crease.operators.forensics import LABELS, complexity_flags, error_labels, rule_flags
 from crease.session import ship
@@ -25,7 +25,9 @@ DIGITS = 6
 def evaluate(gold: DataFrame, results: DataFrame) -> DataFrame:
     """One scored row per result record that has a gold entry."""
     ship(gold.sparkSession)
-    g = gold.select("id", F.col("column_names").alias("gold_column_names"), F.col("answer").alias("gold_answer"))
+    # Gold answers are read once a question, not once a model.
+    g = gold.select("id", F.col("column_names").alias("gold_column_names"), F.col("answer").alias("gold_answer"),
+                    plain_lines(F.col("answer")).alias("gold_rows"))
     # A record without a language counts as English, one without a time as 0 seconds.
     r = results.withColumn("language", F.coalesce("language", F.lit("English"))).withColumn(
         "time_taken", F.coalesce("time_taken", F.lit(0.0)))
