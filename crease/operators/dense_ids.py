@@ -14,9 +14,13 @@ The cuts are one scalar subquery, so the plan stays lazy and both branches use t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crease.session import checkpoint_dir
+
 #: Ranges the keys are cut into.
 RANGES = 256
 
@@ -42,3 +46,21 @@ def exclusive_prefix_sums(df: DataFrame, key: str, counts: list[str], prefix_nam
     joined = within.join(range_off, "_rng")
     return joined.select(key, *[(F.col("_ro_" + c) + F.col("_in_" + c)).cast("long").alias(n)
                                 for c, n in zip(counts, names)])
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """L4: ``df`` with its place (from 1) in ``order``, which should be unique.
+
+    A distributed sort is written to the shared folder, each row with its place in its partition; the rows of earlier
+    partitions, one count each, are added.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sorted-{uuid.uuid4().hex}"
+    placed = df.orderBy(*order).select(*df.columns, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    counts = rows.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row a partition.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_start"))
+    return rows.join(starts, "_part").select(*df.columns, (F.col("_at") + F.col("_start")).alias(name))

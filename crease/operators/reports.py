@@ -43,38 +43,58 @@ def item_scores(ev: DataFrame) -> DataFrame:
                      F.array_join("forensic_labels", "|").alias("forensic_labels"))
 
 
+#: Sums and counts that partial rows hold; rows of different items add up.
+ADDABLE = ["n", "executed", "schema_ok", "score", "seconds"]
+
+
+def partial_totals(ev: DataFrame) -> DataFrame:
+    """A15-A18 in one pass: a row of addable figures per model and language; a run's rows are kept beside those of others."""
+    return ev.groupBy("model", "language").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("executed").alias("executed"), F.count_if("schema_ok").alias("schema_ok"),
+        F.sum("score").alias("score"), F.sum("time_taken").alias("seconds"))
+
+
+def rollup_totals(partials: DataFrame) -> DataFrame:
+    """Partial rows of any number of runs added up per (model, language), per model and over all; ``level`` is 0, 1 and 3."""
+    return partials.rollup("model", "language").agg(*[F.sum(c).alias(c) for c in ADDABLE], F.grouping_id().alias("level"))
+
+
+def _pct(a: Column, b: Column) -> Column:
+    return F.round(F.when(b > 0, F.coalesce(a, F.lit(0.0)) * 100.0 / b).otherwise(0.0), DIGITS)
+
+
+def summary_of(partials: DataFrame) -> DataFrame:
+    """One row per model, with the languages' shares beside the totals."""
+    eng, hin = F.col("language") == "English", F.col("language").isin("Hindi_1", "Hindi_2")
+    of = lambda c, cond, name: F.sum(F.when(cond, F.col(c))).alias(name)
+    total = partials.groupBy("model").agg(*[F.sum(c).alias(c) for c in ADDABLE], of("score", eng, "eng_s"), of("n", eng, "eng_n"),
+                                          of("score", hin, "hin_s"), of("n", hin, "hin_n"))
+    return total.select(
+        "model", F.col("n").alias("total_queries"), F.col("executed").alias("exec_success"), F.col("schema_ok").alias("schema_matches"),
+        F.round("score", DIGITS).alias("data_match_score"), F.round(F.coalesce(F.col("seconds") / F.col("n"), F.lit(0.0)), DIGITS).alias("avg_latency"),
+        _pct(F.col("executed").cast("double"), F.col("n")).alias("exec_pct"),
+        _pct(F.col("schema_ok").cast("double"), F.col("n")).alias("schema_pct"), _pct(F.col("score"), F.col("n")).alias("data_pct"),
+        _pct(F.col("eng_s"), F.coalesce("eng_n", F.lit(0))).alias("english_pct"), _pct(F.col("hin_s"), F.coalesce("hin_n", F.lit(0))).alias("hindi_pct"))
+
+
 def model_summary(ev: DataFrame) -> DataFrame:
-    """One row per model."""
-    n = F.count(F.lit(1))
-    eng = F.col("language") == "English"
-    hin = F.col("language").isin("Hindi_1", "Hindi_2")
-    agg = ev.groupBy("model").agg(
-        n.alias("total_queries"),
-        F.count_if("executed").alias("exec_success"),
-        F.count_if("schema_ok").alias("schema_matches"),
-        F.sum("score").alias("_score"),
-        F.avg("time_taken").alias("_lat"),
-        F.sum(F.when(eng, F.col("score"))).alias("_eng_s"), F.count_if(eng).alias("_eng_n"),
-        F.sum(F.when(hin, F.col("score"))).alias("_hin_s"), F.count_if(hin).alias("_hin_n"))
-    pct = lambda a, b: F.round(F.when(b > 0, F.coalesce(a, F.lit(0.0)) * 100.0 / b).otherwise(0.0), DIGITS)
-    return agg.select(
-        "model", "total_queries", "exec_success", "schema_matches",
-        F.round("_score", DIGITS).alias("data_match_score"),
-        F.round(F.coalesce("_lat", F.lit(0.0)), DIGITS).alias("avg_latency"),
-        pct(F.col("exec_success").cast("double"), F.col("total_queries")).alias("exec_pct"),
-        pct(F.col("schema_matches").cast("double"), F.col("total_queries")).alias("schema_pct"),
-        pct(F.col("_score"), F.col("total_queries")).alias("data_pct"),
-        pct(F.col("_eng_s"), F.col("_eng_n")).alias("english_pct"),
-        pct(F.col("_hin_s"), F.col("_hin_n")).alias("hindi_pct"))
+    return summary_of(partial_totals(ev))
 
 
 def language_breakdown(ev: DataFrame) -> DataFrame:
     """Per model and report language (other labels count only in totals)."""
-    return (ev.filter(F.col("language").isin(*REPORT_LANGUAGES))
-            .groupBy("model", "language")
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if("executed").alias("exec_success"),
-                 F.round(F.sum("score"), DIGITS).alias("data_match_score"),
-                 F.round(F.sum("score") * 100.0 / F.count(F.lit(1)), DIGITS).alias("data_pct")))
+    return (partial_totals(ev).filter(F.col("language").isin(*REPORT_LANGUAGES))
+            .select("model", "language", "n", F.col("executed").alias("exec_success"), F.round("score", DIGITS).alias("data_match_score"),
+                    F.round(F.col("score") * 100.0 / F.col("n"), DIGITS).alias("data_pct")))
+
+
+def rollup_report(partials: DataFrame) -> DataFrame:
+    """All levels of the rollup as a report: ``ALL`` stands for every language or model."""
+    r = rollup_totals(partials)
+    return r.select(F.when(F.col("level") < 2, F.col("model")).otherwise("ALL").alias("model"),
+                    F.when(F.col("level") < 1, F.col("language")).otherwise("ALL").alias("language"), "n", F.col("executed").alias("exec_success"),
+                    F.col("schema_ok").alias("schema_matches"), F.round("score", DIGITS).alias("data_match_score"),
+                    _pct(F.col("score"), F.col("n")).alias("data_pct"), F.round(F.col("seconds") / F.col("n"), DIGITS).alias("avg_latency"))
 
 
 def failure_counts(ev: DataFrame) -> DataFrame:
@@ -83,10 +103,10 @@ def failure_counts(ev: DataFrame) -> DataFrame:
             .groupBy("model", "failure_class").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _totals(ev: DataFrame) -> DataFrame:
+def _totals(ev: DataFrame, *more: str) -> DataFrame:
     """Everything a report needs in one pass: one row per model, a count or sum per class, label and language."""
     label = lambda x: F.count_if(F.array_contains("forensic_labels", x))
-    return ev.groupBy("model").agg(
+    return ev.groupBy("model", *more).agg(
         F.count(F.lit(1)).alias("n"), F.sum("time_taken").alias("seconds"), F.sum("score").alias("score"),
         F.count_if("executed").alias("executed"), F.count_if("schema_ok").alias("schema_ok"),
         F.array(*[F.count_if(F.col("failure_class") == c) for c in BASIC_CLASSES]).alias("classes"),
@@ -171,13 +191,14 @@ def last_file_wins(per_file: DataFrame, model: str = "model") -> DataFrame:
     return named.join(last, "short_name").filter(F.col(model) == F.col("_last")).drop("_last")
 
 
-def context_comparison(with_context: DataFrame, without: DataFrame) -> DataFrame:
-    """Percentages of two evaluated result sets side by side, one row per model of either."""
-    both = (_totals(with_context).withColumn("mode", F.lit("context"))
-            .unionByName(_totals(without).withColumn("mode", F.lit("schema_only"))))
+def context_comparison(ev: DataFrame) -> DataFrame:
+    """Percentages of two result sets side by side, one row per model of either.
+
+    ``ev`` holds both, evaluated together, with ``mode`` ``context`` or ``schema_only``.
+    """
     pct = lambda mode, c: F.max(F.when(F.col("mode") == mode, F.col(c) * 100.0 / F.col("n")))
-    out = both.groupBy("model").agg(*[F.round(pct(m, c), DIGITS).alias(f"{m}_{c}_pct")
-                                      for m in ("context", "schema_only") for c in ("executed", "schema_ok", "score")])
+    out = _totals(ev, "mode").groupBy("model").agg(*[F.round(pct(m, c), DIGITS).alias(f"{m}_{c}_pct")
+                                                     for m in ("context", "schema_only") for c in ("executed", "schema_ok", "score")])
     return out.withColumn("score_gain", F.round(F.col("context_score_pct") - F.col("schema_only_score_pct"), DIGITS))
 
 
@@ -211,5 +232,19 @@ def complexity_counts(gold: DataFrame) -> DataFrame:
                           F.round(F.col("s.n") * 100.0 / F.col("total"), DIGITS).alias("pct"))
 
 
-__all__ = ["evaluate", "item_scores", "model_summary", "language_breakdown", "failure_counts",
+# Labels of the complexity table.
+COMPLEXITY_LABELS = {"joins": "Multi-table Joins", "nested": "Nested Queries / CTEs", "aggregations": "Aggregations (Group By/Having)",
+                     "temporal": "Temporal Filtering", "franchise": "Franchise Normalization", "derived": "Derived Metrics (SR, Econ)"}
+
+
+def complexity_rows(counts: DataFrame) -> DataFrame:
+    """The table rows of A23, in the order of the classes."""
+    names = F.create_map(*[F.lit(x) for pair in COMPLEXITY_LABELS.items() for x in pair])
+    order = F.array_position(F.array(*[F.lit(k) for k in COMPLEXITY_LABELS]), F.col("complexity_class")) - 1
+    return counts.select(order.cast("int").alias("line_no"), F.concat(
+        F.element_at(names, F.col("complexity_class")), F.lit(" & "), F.col("n").cast("string"), F.lit(" & "), _fixed(F.col("pct"), 1), F.lit("\\% \\\\")).alias("text"))
+
+
+__all__ = ["evaluate", "item_scores", "partial_totals", "rollup_totals", "summary_of", "rollup_report", "model_summary", "language_breakdown",
+           "failure_counts", "complexity_rows",
            "forensic_counts", "report_lines", "latex_rows", "short_name", "last_file_wins", "context_comparison", "string_error_analysis", "complexity_counts", "LABELS"]

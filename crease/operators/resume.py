@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.operators.dataset import accept_headers, clean_header, is_invalid_sql
+from crease.operators.dataset import accept_headers, is_invalid_sql
 
 GOLD_DDL = ("array<struct<db_id:string,context_url:string,question_english:string,question_hindi_1:string,question_hindi_2:string,"
             "question:string,query:string,answer:array<string>,column_names:array<string>>>")
@@ -31,15 +31,16 @@ def model_of_file(name: Column, prefix: str, suffix: str = ".json") -> Column:
 
 
 def read_result_files(spark: SparkSession, folder: str, prefix: str = "final_benchmark_") -> tuple[DataFrame, DataFrame]:
-    """(records with their model, names of files that could not be read)."""
+    """(records with their model, paths of files that could not be read), from all folders below ``folder``."""
     raw = (spark.read.schema(f"{RESULT_DDL}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", f"{prefix}*.json").json(folder)
-           .select("*", F.col("_metadata.file_name").alias("file_name")))
+           .option("columnNameOfCorruptRecord", CORRUPT).option("recursiveFileLookup", True).option("pathGlobFilter", f"{prefix}*.json").json(folder)
+           .select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path")))
     # Spark refuses a JSON scan of the corrupt column alone, as in a count, so both filters name others beside it;
     # a record without id, question and SQL is none.
-    good = raw.filter(f"{CORRUPT} IS NULL AND coalesce(id, question, generated_sql) IS NOT NULL").withColumn("model", model_of_file(F.col("file_name"), prefix)).drop(CORRUPT, "file_name")
-    files = raw.groupBy("file_name").agg(F.count(CORRUPT).alias("bad"), F.count("id").alias("read"))
-    return good, files.filter("bad > 0 AND read >= 0").select("file_name")
+    good = (raw.filter(f"{CORRUPT} IS NULL AND coalesce(id, question, generated_sql) IS NOT NULL")
+            .withColumn("model", model_of_file(F.col("file_name"), prefix)).drop(CORRUPT, "file_name", "file_path"))
+    files = raw.groupBy("file_path").agg(F.count(CORRUPT).alias("bad"), F.count("id").alias("read"))
+    return good, files.filter("bad > 0 AND read >= 0").select("file_path")
 
 
 def coerce_ids(results: DataFrame) -> DataFrame:
@@ -78,9 +79,12 @@ def log_text(question: Column, sql: Column, status: Column) -> Column:
 
 
 def enriched(gold: DataFrame, cleaned: str = "cleaned", raw: str = "raw") -> DataFrame:
-    """``column_names`` from cleaned header names if there are as many as raw ones."""
-    return gold.withColumn("column_names", F.coalesce(accept_headers(F.col(cleaned), F.transform(raw, clean_header)),
-                                                      F.array().cast("array<string>")))
+    """``column_names``: the cleaned names if there are as many as raw ones, else the raw ones as they are; none without a header.
+
+    ``raw`` is null where the statement failed or is missing.
+    """
+    none = F.array().cast("array<string>")
+    return gold.withColumn("column_names", F.when(F.coalesce(F.size(raw), F.lit(0)) > 0, accept_headers(F.col(cleaned), F.col(raw))).otherwise(none))
 
 
 def enrichment_counts(enriched_gold: DataFrame) -> DataFrame:

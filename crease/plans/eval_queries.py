@@ -251,7 +251,7 @@ _X9 = """CASE WHEN {c} IS NULL THEN ''
   ELSE trim(regexp_replace(lower(trim({c})), '[\\[\\]\\(\\),''"]', '', 'g')) END"""
 
 
-def _string_errors_sql() -> str:
+def _string_errors_sql(where: str = "") -> str:
     rules = _rules_sql("usql", "lq", True)
     names = ["hallucination", "legal_ball", "team_mapping", "phase_filter", "aggregation"]
     counts = ", ".join(f"COUNT(CASE WHEN {r} THEN 1 END) AS {n}" for r, n in zip(rules, names))
@@ -274,7 +274,7 @@ r AS (SELECT om.id, {_case(X.MODELS, 'om.m')} AS model,
              upper({_case_text(X.SQL_TEMPLATES, 'om.id + om.m')}) AS usql,
              lower({_case_text(X.QUESTIONS, 'om.id')} || ' ' || {_case(X.LANGUAGES, 'om.id')}) AS lq,
              ga.gold_answer
-      FROM om LEFT JOIN va ON va.id = om.id AND va.m = om.m JOIN ga ON ga.id = om.id),
+      FROM om LEFT JOIN va ON va.id = om.id AND va.m = om.m JOIN ga ON ga.id = om.id {where}),
 n AS (SELECT *, {_X9.format(c='generated_answer')} AS nv, {_X9.format(c='gold_answer')} AS ngd FROM r),
 tot AS (SELECT model, COUNT(*) AS total_queries FROM r GROUP BY model),
 errs AS (SELECT model, COUNT(*) AS total_errors, {counts} FROM n WHERE nv <> ngd OR nv = 'ERROR_FLAG' GROUP BY model)

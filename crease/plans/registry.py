@@ -14,6 +14,7 @@ _MODULES = (
     "crease.plans.grading_queries",
     "crease.plans.dataset_queries",
     "crease.plans.run_queries",
+    "crease.plans.file_queries",
 )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +12,19 @@ from crease.operators import dataset as D
 from crease.operators import reports as R
 from crease.operators import resume as S
 from crease.operators.compare import bag_overlap
+from crease.operators.dense_ids import numbered
 from crease.operators.forensics import team_mention
 from crease.operators.ingest import ingest
-from crease.operators.queryset import run_query_set, validation_counts
+from crease.operators.metrics import player_debuts
+from crease.operators.queryset import headers_of, run_query_set, validation_counts
 from crease.plans.dataset_queries import _raw_outputs, sql_cleaning
-from crease.plans.eval_queries import _BASE, _case, _case_text, ORACLES as EVAL_ORACLES
+from crease.plans.eval_queries import _BASE, _case_text, _string_errors_sql, ORACLES as EVAL_ORACLES
 from crease.plans.grading_queries import ENDLESS, SHORT
 from crease.plans.ingest_queries import _INGEST_CTES
 from crease.plans.oracle_base import with_adapter
 from crease.session import checkpoint_dir
 from crease.sources import eval_fixtures as X
+from crease.sources.adapter import cricket_tables
 from crease.sources.match_docs import build_match_documents, docs_from_json
 from crease.sources.tables import register_views, table
 
@@ -60,14 +64,6 @@ def _shared(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def eval_from_files(spark, sf_dir):
-    """Results written as JSON, read back with ids as text, evaluated."""
-    path = _shared(spark, "results")
-    S.write_json(X.benchmark_results(spark, sf_dir).withColumn("id", F.col("id").cast("string")), path)
-    back = spark.read.schema(S.RESULT_DDL + ", model string").json(path)
-    return R.item_scores(R.evaluate(X.gold_dataset(spark, sf_dir), S.coerce_ids(back)))
-
-
 def gold_positions(spark, sf_dir):
     """Blocks of 16 gold entries as JSON arrays; ids are positions."""
     g = X.gold_dataset(spark, sf_dir).select(F.floor(F.col("id") / 16).cast("long").alias("block"), "id", "query", "answer")
@@ -101,15 +97,72 @@ def review_records(spark, sf_dir):
     return S.review_records(g, again.select("id", F.upper("question").alias("generated_question")))
 
 
+def _raw_headers(spark, sf_dir) -> dict[str, list[str]]:
+    """The header of each different gold statement that can be analysed, without running it."""
+    for name, df in vars(cricket_tables(spark, sf_dir)).items():
+        df.createOrReplaceTempView({"player_in_match": "PlayerInMatch", "fielder_dismissals": "FielderDismissals"}.get(name, name))
+    found = {}
+    for sql in X.SQL_TEMPLATES:
+        try:
+            found[sql] = headers_of(spark, sql)
+        except AnalysisException:
+            continue
+    return found
+
+
+def _enriched(spark, sf_dir):
+    """A model's cleaned names, one name too few for every third entry."""
+    raw = F.create_map(*[x for sql, names in _raw_headers(spark, sf_dir).items() for x in (F.lit(sql), F.array(*[F.lit(n) for n in names]))])
+    g = X.gold_dataset(spark, sf_dir).select("id", F.try_element_at(raw, F.col("query")).alias("raw"))
+    names = F.transform("raw", D.clean_header)
+    return S.enriched(g.withColumn("cleaned", F.when(F.col("id") % 3 == 0, F.slice(names, 1, 1)).otherwise(names)))
+
+
 def header_enrichment(spark, sf_dir):
-    """Cleaned names where a model gave as many as the raw header has."""
+    """Entries by the column names they get."""
+    return _enriched(spark, sf_dir).groupBy(F.array_join("column_names", "|").alias("names")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def enrichment_counts(spark, sf_dir):
+    """Entries with and without column names."""
+    return S.enrichment_counts(_enriched(spark, sf_dir))
+
+
+def prompts(spark, sf_dir):
+    """The text given to a model: rules for questions that name a team only, evidence where there is some."""
+    g = X.gold_dataset(spark, sf_dir)
+    team = team_mention(F.col("question_english"))
+    return g.select("id", D.prompt_text(F.lit("TABLES: Matches, Deliveries"), F.col("question_english"), F.col("column_names"), F.when(team, F.lit("RULE: teams were renamed")),
+                                        "COLUMNS: %s", F.when(F.col("id") % 4 == 0, F.concat(F.lit("HINT: order "), F.col("id").cast("string")))).alias("prompt"))
+
+
+def log_entries(spark, sf_dir):
+    """K3, K6: the text log of a run, written in order and read back."""
+    path = _shared(spark, "log")
     r = X.benchmark_results(spark, sf_dir).filter(F.col("model") == X.MODELS[0])
-    raw = F.array(F.lit("P.player_name"), F.lit("total_runs"))
-    some = r.select("id", F.when(F.size("generated_column_names") > 0, raw).alias("raw"),
-                    F.when(F.col("id") % 3 == 0, F.array(F.lit("Batter"))).otherwise(F.array(F.lit("Batter"), F.lit("Runs"))).alias("cleaned"))
-    named = S.enriched(some.withColumn("cleaned", F.when(F.size("cleaned") == F.size("raw"), F.col("cleaned"))
-                                       .otherwise(F.transform("raw", D.clean_header))))
-    return named.groupBy(F.array_join("column_names", "|").alias("names")).agg(F.count(F.lit(1)).alias("n"))
+    status = F.when(F.col("generated_answer") == X.FAILED_ANSWER, "ERROR").otherwise("SUCCESS")
+    S.write_text(r.select("id", S.log_text(F.col("question"), F.col("generated_sql"), status).alias("text")), path, ["id"])
+    lines = spark.read.text(path).select(F.split("value", ": ", 2)[0].alias("kind"), F.col("value"))
+    return lines.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def latest_files(spark, sf_dir):
+    """Two files of one family; the last by name counts."""
+    r = X.benchmark_results(spark, sf_dir)
+    rerun = r.filter((F.col("model") == X.MODELS[0]) & (F.col("id") % 2 == 0)).withColumn("model", F.lit(X.MODELS[0] + "-rerun"))
+    return R.last_file_wins(R.string_error_analysis(X.gold_dataset(spark, sf_dir), r.unionByName(rerun))).select(
+        "short_name", "model", "total_queries", "total_errors", "hallucination", "aggregation")
+
+
+def complexity_rows(spark, sf_dir):
+    """The complexity table's lines."""
+    return R.complexity_rows(R.complexity_counts(X.gold_dataset(spark, sf_dir)))
+
+
+def debut_order(spark, sf_dir):
+    """L4: players in order of debut, then name and id, each with its place."""
+    d = player_debuts(cricket_tables(spark, sf_dir)).select("debut_date", "player_name", "player_id")
+    return numbered(d, ["debut_date", "player_name", "player_id"], "place")
 
 
 def repair_counts(spark, sf_dir):
@@ -134,9 +187,10 @@ def latex_rows(spark, sf_dir):
 
 
 def context_comparison(spark, sf_dir):
-    """All records against those of even ids, as a second result set."""
-    ev = R.evaluate(X.gold_dataset(spark, sf_dir), X.benchmark_results(spark, sf_dir))
-    return R.context_comparison(ev, ev.filter("id % 2 = 0"))
+    """Two runs of the same models, evaluated together."""
+    both = (X.benchmark_results(spark, sf_dir).withColumn("mode", F.lit("context"))
+            .unionByName(X.schema_only_results(spark, sf_dir).withColumn("mode", F.lit("schema_only"))))
+    return R.context_comparison(R.evaluate(X.gold_dataset(spark, sf_dir), both))
 
 
 def bag_overlaps(spark, sf_dir):
@@ -167,15 +221,18 @@ def ingest_json_rejects(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    queryset_results, queryset_status, queryset_counts, eval_from_files, gold_positions, resume_offset, resume_grading, translation_join,
-    review_records, header_enrichment, repair_counts, latency_records, latex_rows, context_comparison, bag_overlaps, placeholder_row,
+    queryset_results, queryset_status, queryset_counts, gold_positions, resume_offset, resume_grading, translation_join,
+    review_records, header_enrichment, enrichment_counts, prompts, log_entries, latest_files, complexity_rows, debut_order, repair_counts, latency_records, latex_rows, context_comparison, bag_overlaps, placeholder_row,
     team_mentions, ingest_json_rejects)}
 
 _SQL = "(" + _case_text(X.SQL_TEMPLATES, "o_orderkey") + ")"
 _Q = "(" + _case_text(X.QUESTIONS, "o_orderkey") + ")"
 _NEED = "(cleaned LIKE '%API_ERROR%' OR trim(cleaned) = '' OR contains(lower(cleaned), 'timeout'))"
 _TOTALS = """SELECT model, COUNT(*) AS n, COUNT(CASE WHEN executed THEN 1 END) AS executed, COUNT(CASE WHEN schema_ok THEN 1 END) AS schema_ok,
-  SUM(score) AS score FROM lab {where} GROUP BY model"""
+  SUM(score) AS score FROM {source} GROUP BY model"""
+_NAMES = """CASE WHEN o_orderkey % 6 = 5 THEN '' WHEN o_orderkey % 3 = 0 THEN
+  CASE o_orderkey % 6 WHEN 0 THEN 'player_name|total_runs' ELSE 'striker_id|sum(runs_scored)' END
+  ELSE CASE o_orderkey % 6 WHEN 1 THEN 'Bowler Id|Economy' WHEN 2 THEN 'Match Winner|Count(1)' ELSE 'Striker Id|R' END END"""
 
 ORACLES = {
     "queryset_results": """
@@ -189,7 +246,6 @@ UNION ALL SELECT 'drop_it', 'refused', '', 0, 'EXECUTION_ERROR: only queries are
 UNION ALL SELECT 'insert_it', 'refused', '', 0, 'EXECUTION_ERROR: only queries are run'
 UNION ALL SELECT 'endless', 'timeout', '', 0, 'ERROR: Query Timed Out'""",
     "queryset_counts": "SELECT 2::BIGINT AS success, 4::BIGINT AS errors",
-    "eval_from_files": EVAL_ORACLES["eval_item_scores"],
     "gold_positions": f"""
 SELECT CAST(floor(o_orderkey / 16) AS BIGINT) AS block,
        CAST(row_number() OVER (PARTITION BY floor(o_orderkey / 16) ORDER BY o_orderkey) - 1 AS BIGINT) AS id, {_SQL} AS query,
@@ -204,9 +260,29 @@ FROM orders""",
 SELECT o_orderkey AS id, {_Q} AS question_english, {_SQL} AS query,
        CASE WHEN o_orderkey % 2 = 0 THEN upper({_Q}) ELSE '' END AS generated_question
 FROM orders WHERE o_orderkey % 10 <> 3""",
-    "header_enrichment": """
-SELECT CASE WHEN o_orderkey % 17 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN 'Player Name|Total Runs' ELSE 'Batter|Runs' END AS names, COUNT(*) AS n
-FROM orders GROUP BY 1""",
+    "header_enrichment": f"SELECT {_NAMES} AS names, COUNT(*) AS n FROM orders GROUP BY 1",
+    "enrichment_counts": f"SELECT COUNT(CASE WHEN {_NAMES} <> '' THEN 1 END) AS enriched, COUNT(CASE WHEN {_NAMES} = '' THEN 1 END) AS empty FROM orders",
+    "prompts": f"""
+SELECT o_orderkey AS id, concat_ws(chr(10), 'TABLES: Matches, Deliveries', CASE WHEN o_orderkey % 5 IN (1, 2, 3) THEN 'RULE: teams were renamed' END, {_Q},
+       'COLUMNS: player_name, total_runs', CASE WHEN o_orderkey % 4 = 0 THEN 'HINT: order ' || o_orderkey END) AS prompt FROM orders""",
+    "log_entries": f"""
+WITH r AS (SELECT {_Q} AS q, {_SQL} AS s, CASE WHEN o_orderkey % 17 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS st FROM orders),
+l AS (SELECT 'QUERY' AS kind, 'QUERY: ' || q AS value FROM r UNION ALL SELECT 'SQL', 'SQL: ' || s FROM r UNION ALL SELECT 'STATUS', 'STATUS: ' || st FROM r
+      UNION ALL SELECT '', '' FROM r)
+SELECT kind, value, COUNT(*) AS n FROM l GROUP BY 1, 2""",
+    "latest_files": f"""
+WITH a AS ({EVAL_ORACLES["eval_string_errors"]}), b AS ({_string_errors_sql("WHERE om.m = 0 AND om.id % 2 = 0")})
+SELECT 'GPT-4o' AS short_name, model || '-rerun' AS model, total_queries, total_errors, hallucination, aggregation FROM b
+UNION ALL SELECT 'DeepSeek-R1', model, total_queries, total_errors, hallucination, aggregation FROM a WHERE model = '{X.MODELS[1]}'""",
+    "complexity_rows": f"""
+WITH c AS ({EVAL_ORACLES["eval_complexity"]})
+SELECT CASE complexity_class {' '.join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(R.COMPLEXITY_LABELS))} END::INTEGER AS line_no,
+       CASE complexity_class {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in R.COMPLEXITY_LABELS.items())} END || ' & ' || n || ' & ' || printf('%.1f', pct)
+       || '""" + chr(92) + "% " + chr(92) * 2 + """' AS text FROM c""",
+    "debut_order": with_adapter("""
+SELECT debut_date, player_name, player_id, row_number() OVER (ORDER BY debut_date, player_name, player_id) AS place
+FROM (SELECT x.player_id, p.player_name, MIN(m.match_date) AS debut_date
+      FROM player_in_match x JOIN matches m ON m.match_id = x.match_id JOIN players p ON p.player_id = x.player_id GROUP BY 1, 2) d"""),
     "repair_counts": f"""
 WITH c AS (SELECT o_orderkey AS id, m, CASE WHEN o_orderkey % 4 = 3 THEN 'API_ERROR: upstream timeout' ELSE 'SELECT' END AS cleaned
            FROM orders CROSS JOIN (VALUES (0), (1)) t(m))
@@ -224,7 +300,9 @@ x AS (SELECT model, CASE WHEN total_errors = 0 THEN ['% ' || model || ': Perfect
       for label, c in zip(R.LABELS, ["hallucination", "legal_ball", "team_mapping", "phase_filter", "aggregation"]))}] END AS ls FROM e)
 SELECT model, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS text FROM x""",
     "context_comparison": _BASE + f""",
-a AS ({_TOTALS.format(where='')}), b AS ({_TOTALS.format(where='WHERE id % 2 = 0')}),
+w AS (SELECT model, CASE WHEN (id + m) % 5 = 0 THEN FALSE ELSE executed END AS executed, schema_ok AND id % 3 <> 0 AS schema_ok,
+             CASE WHEN (id + m) % 5 = 0 THEN 0.0 ELSE score END AS score FROM lab),
+a AS ({_TOTALS.format(source='lab')}), b AS ({_TOTALS.format(source='w')}),
 p AS (SELECT a.model, {', '.join(f"round({t}.{c} * 100.0::DOUBLE / {t}.n, 6) AS {m}_{c}_pct" for m, t in (('context', 'a'), ('schema_only', 'b')) for c in ('executed', 'schema_ok', 'score'))}
       FROM a LEFT JOIN b ON a.model = b.model)
 SELECT *, round(context_score_pct - schema_only_score_pct, 6) AS score_gain FROM p""",

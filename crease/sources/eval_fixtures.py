@@ -117,3 +117,12 @@ def benchmark_results(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(failed, F.lit(FAILED_ANSWER)).otherwise(answer).alias("generated_answer"),
                     cols.alias("generated_column_names"),
                     (((F.col("id") * 7 + F.col("m") * 3) % 100).cast("double") / F.lit(10.0)).alias("time_taken")))
+
+
+def schema_only_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run of the same models: every fifth answer failed, every third header renamed."""
+    r = benchmark_results(spark, sf_dir)
+    m = F.when(F.col("model") == MODELS[0], 0).otherwise(1)
+    return (r.withColumn("generated_answer", F.when((F.col("id") + m) % 5 == 0, F.lit(FAILED_ANSWER)).otherwise(F.col("generated_answer")))
+            .withColumn("generated_column_names", F.when(F.col("id") % 3 == 0, F.array(*[F.lit(c) for c in RENAMED_COLUMNS]))
+                        .otherwise(F.col("generated_column_names"))))

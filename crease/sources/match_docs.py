@@ -37,6 +37,7 @@ def match_schema() -> StructType:
     """The document schema (parsed from the DDL; needs an active session)."""
     return StructType.fromDDL(" ".join(MATCH_DDL.split()))
 
+
 CORRUPT_COL = "_corrupt_record"
 
 # Fixed value: the void match excluded by the original loader.
@@ -183,3 +184,50 @@ def build_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(xi, "match_id", "left")
             .select("match_id", info.cast(schema["info"].dataType).alias("info"),
                     innings.cast(schema["innings"].dataType).alias("innings")))
+
+
+#: Edge documents by ``match_id % EDGES``: what each lacks or has too much of.
+EDGES = 40
+BROKEN_FILE, EXCLUDED, SECOND_FILE = 12, (13, 53), 14
+
+
+def edge_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with the cases that sound documents do not have (P5, P8, P18, P19), each in the matches of one class.
+
+    2 to 8: one document-level reject reason each; 9: optional keys absent; 10: two super overs, copies of the first over of
+    either innings; 11: each person listed a second time before, under another name.
+    """
+    k = F.col("match_id") % EDGES
+    types = {f.name: f.dataType for f in docs.schema["info"].dataType.fields}
+    fields = {name: F.col(f"info.{name}") for name in types}
+
+    def put(name: str, cls: int, value) -> None:
+        fields[name] = F.when(k == cls, value.cast(types[name])).otherwise(fields[name])
+
+    put("player_of_match", 2, F.array())
+    put("dates", 3, F.array())
+    put("dates", 4, F.array(F.lit(None)))
+    put("teams", 5, F.slice(F.col("info.teams"), 1, 1))
+    put("teams", 6, F.array(F.get("info.teams", F.lit(0)), F.lit(None)))
+    put("players", 7, F.transform_values("info.players", lambda _, v: F.lit(None).cast("array<string>")))
+    put("players", 8, F.transform_values("info.players", lambda _, v: F.concat(v, F.array(F.lit(None).cast("string")))))
+    for name in ("season", "dates", "venue", "city", "event", "teams", "toss", "outcome", "player_of_match", "officials"):
+        put(name, 9, F.lit(None))
+    people = F.col("info.registry.people")
+    alias = F.map_concat(F.transform_keys(people, lambda n, _: F.concat(F.lit("Alias "), F.trim(n))), people)
+    put("registry", 11, F.struct(alias.alias("people")))
+    again = lambda i: F.get("innings", F.lit(i)).withField("super_over", F.lit(True)).withField(
+        "overs", F.slice(F.get("innings", F.lit(i))["overs"], 1, 1))
+    innings = F.when(k == 10, F.concat("innings", F.array(again(0), again(1)))).otherwise(F.col("innings"))
+    return docs.select("match_id", F.struct(*[c.alias(name) for name, c in fields.items()]).alias("info"), innings.alias("innings"))
+
+
+def match_files(docs: DataFrame) -> DataFrame:
+    """(name, content): a JSON file per document, some cut off, some there twice, and one whose name has no number."""
+    text = F.to_json(F.struct("info", "innings"))
+    k = F.col("match_id") % EDGES
+    files = docs.select("match_id", F.when(k == BROKEN_FILE, F.substring(text, 1, 40)).otherwise(text).alias("content"))
+    name = F.col("match_id").cast("string")
+    names = F.filter(F.array(F.concat(name, F.lit(".json")), F.when(k == SECOND_FILE, F.concat(name, F.lit(".late.json"))),
+                             F.when(F.col("match_id") == 0, F.lit("notes.json"))), lambda n: n.isNotNull())
+    return files.select(F.explode(names).alias("name"), "content")
