@@ -375,4 +375,4 @@ def float_text(num: Column) -> Column:
             ~F.contains(text, F.lit("E")), text).when((power >= 16) | (power < -4), short).otherwise(
             F.when(power >= 7, long).otherwise(plain))
 
-    return let(num.cast("string"), printed)
+    return F.when(num.isNotNull(), let(num.cast("string"), printed))

@@ -31,7 +31,7 @@ def model_of_file(name: Column, prefix: str, suffix: str = ".json") -> Column:
 
 
 def read_result_files(spark: SparkSession, folder: str, prefix: str = "final_benchmark_") -> tuple[DataFrame, DataFrame]:
-    """(records with their model, paths of files that could not be read), from all folders below ``folder``."""
+    """(records with their model, name and path of files that could not be read), from all folders below ``folder``."""
     raw = (spark.read.schema(f"{RESULT_DDL}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).option("recursiveFileLookup", True).option("pathGlobFilter", f"{prefix}*.json").json(folder)
            .select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path")))
@@ -39,8 +39,8 @@ def read_result_files(spark: SparkSession, folder: str, prefix: str = "final_ben
     # a record without id, question and SQL is none.
     good = (raw.filter(f"{CORRUPT} IS NULL AND coalesce(id, question, generated_sql) IS NOT NULL")
             .withColumn("model", model_of_file(F.col("file_name"), prefix)).drop(CORRUPT, "file_name", "file_path"))
-    files = raw.groupBy("file_path").agg(F.count(CORRUPT).alias("bad"), F.count("id").alias("read"))
-    return good, files.filter("bad > 0 AND read >= 0").select("file_path")
+    files = raw.groupBy("file_name", "file_path").agg(F.count(CORRUPT).alias("bad"), F.count("id").alias("read"))
+    return good, files.filter("bad > 0 AND read >= 0").select("file_name", "file_path")
 
 
 def coerce_ids(results: DataFrame) -> DataFrame:
