@@ -59,8 +59,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, size: Column, source: str, weights=WEIGHTS, most: int = MOST,
-                seed: str = SEED, split: int = 64) -> DataFrame:
-    """``docs`` with struct column ``mix`` (size, source_size, target, copies).
+                seed: str = SEED, split: int = 64, name: str = "mix") -> DataFrame:
+    """``docs`` with struct column ``name`` (size, source_size, target, copies).
 
     The position of a document in its source is the sum of three numbers, so that no task orders a whole source:
     documents of smaller size (one row per source and size), of equal size in lower buckets of
@@ -97,15 +97,16 @@ def with_copies(docs: DataFrame, size: Column, source: str, weights=WEIGHTS, mos
     copies = F.floor(F.col("_rank") * share + start) - F.floor((F.col("_rank") - 1) * share + start)
     return placed.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
         k("size").alias("size"), F.col("_cell.source_size").alias("source_size"),
-        F.col("_cell.target").alias("target"), copies.cast("long").alias("copies")).alias("mix"))
+        F.col("_cell.target").alias("target"), copies.cast("long").alias("copies")).alias(name))
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with its own columns."""
-    counted = with_copies(docs, n_words(F.col("text")), "source", **params)
+    name = free_name(docs, "_mix")
+    counted = with_copies(docs, n_words(F.col("text")), "source", name=name, **params)
     m = free_name(counted, "_copy")
-    return (counted.filter(F.col("mix.copies") > 0)
-            .withColumn(m, F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).drop(m, "mix"))
+    copies = F.col(f"{name}.copies")
+    return counted.filter(copies > 0).withColumn(m, F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop(m, name)
 
 
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,7 @@ def test_equal_to_brute_force(spark, tmp_path):
         if s not in ("s1", "s2"):
             assert abs(taken[s] - target[s]) <= 2 * 211
     docs = spark.read.parquet(str(tmp_path / "documents.parquet")).selectExpr("*", "1 AS mix")
+    assert op.mix(docs.selectExpr("*", "2 AS _mix")).columns == ["doc_id", "source", "text", "mix", "_mix"]
     mixed = op.mix(docs.drop("mix").selectExpr("*", "1 AS _copy"))
     assert mixed.columns == ["doc_id", "source", "text", "_copy"] and mixed.count() == sum(r.taken // max(r.size, 1) for r in got if r.size) + sum(
         0 for r in got if not r.size) + mixed.filter("size(filter(split(coalesce(text, ''), ' '), x -> x <> '')) = 0").count()
