@@ -5,10 +5,11 @@ most of them with the word it comes from. Embeddings and softmax are trained joi
 of labelled documents. As all of it is linear up to the softmax, a trained model is one number per row, so texts
 are scored whole, in one pass, by array operations.
 
-Parameters: ``SAMPLE`` labelled documents at most, those lowest by hash of the id, train the model; everything else covers all rows.
+Parameters: ``SAMPLE`` labelled documents at most, those lowest by hash of the id and one row of each, train the model; everything else
+covers all rows.
 
 Defined results: null, empty and wordless texts have the score of the bias alone; labels of one document that differ count as toxic; null labels and labels of null
-or unknown ids are ignored; without labels of both kinds each score is the share of toxic ones (0 without any); repeated documents are
+or unknown ids are ignored; of rows with one id the lowest text trains; without labels of both kinds each score is the share of toxic ones (0 without any); repeated documents are
 scored alike; a null doc_id is not held out; an empty table gives no rows; further columns stay.
 """
 
@@ -109,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     # Known ids only, before the limit; the limit bounds what is broadcast and collected.
     chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    first = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # One row an id, by partial aggregation, however often the id is repeated.
+    first = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted(first.collect(), key=lambda r: (r.doc_id, r.text or ""))
     return train([r.text for r in rows], [int(r.toxic) for r in rows])
 
