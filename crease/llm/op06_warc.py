@@ -2,11 +2,16 @@
 
 Reading: files are planned into partitions by size; predicates on the columns of ``PUSHED`` are taken over from Spark and tested, as soon
 as a record's headers are parsed; only of records that pass, and only if ``payload`` is wanted, the block is read and decoded.
-``.warc`` files skip by Content-Length. ``.warc.gz`` files hold one gzip member a record; members written here carry their length
+``.warc`` files skip by Content-Length. ``.warc.gz`` files hold gzip members of one record or of many; members written here carry their length
 in an ``sl`` extra field, so that an unwanted one is skipped unread; others are inflated to find their end.
 
-Writing: each task writes files of its own under new names; the driver lists those of successful tasks in a manifest,
-and only listed files are read, so lost executors, retries and speculative tasks leave no record twice.
+Writing: each task writes files of its own under new names; the driver lists those of successful tasks in a manifest of the commit,
+and only files of some manifest are read, so lost executors, retries and speculative tasks leave no record twice. Appended commits
+add up; an overwriting one takes the place of those before it.
+
+A record without an end, with a Content-Length that is no number, or in a broken or truncated gzip member fails the job with file and
+byte. With option ``bad=report`` it ends its file instead, and shows as a row whose headers hold ``x-error`` alone; with pushed
+predicates no such row passes.
 
 Defined results: null html is an empty payload; null or unprintable urls are left out or percent-encoded; a null page_id is an empty
 header, null again when read; of repeated rows with large payloads all but one revisit it; an empty table gives an archive without records.
@@ -33,7 +38,7 @@ SCHEMA = ("record_type string, record_id string, target_uri string, date string,
 #: Columns that are headers; predicates on them are tested before a block is read.
 PUSHED = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date",
           "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type"}
-MANIFEST, FILE_BYTES, LEAST_REVISIT = "_committed.json", 64 << 20, 1000
+MANIFEST, FILE_BYTES, LEAST_REVISIT = "_committed", 64 << 20, 1000
 _END = b"\r\n\r\n"
 
 
@@ -71,104 +76,143 @@ def parse_headers(data: bytes) -> dict[str, str]:
     return found
 
 
+class BadRecord(ValueError):
+    """A record that cannot be read, with its file and the byte at which it, or its gzip member, begins."""
+
+
 class _Plain:
-    """A record's bytes in an uncompressed file, from ``start`` on."""
+    """The bytes of an uncompressed file from one record to the next."""
 
-    def __init__(self, file, start: int):
-        self.file, self.start = file, start
+    def __init__(self, file, size: int):
+        self.file, self.size, self.start = file, size, 0
 
-    def head(self) -> tuple[bytes, int] | None:
-        data, self.file_at = b"", self.start
+    def head(self) -> bytes | None:
+        """The headers of the next record; None at the end of the file."""
+        data = b""
         self.file.seek(self.start)
         while _END not in data:
             more = self.file.read(4096)
             if not more:
+                if data.strip():
+                    raise BadRecord("headers without an end")
                 return None
             data += more
         cut = data.index(_END)
-        return data[:cut], cut + 4
-
-    def block(self, offset: int, length: int) -> bytes:
-        self.file.seek(self.start + offset)
-        return self.file.read(length)
-
-    def next(self, offset: int, length: int) -> int:
-        return self.start + offset + length + 4
-
-
-class _Member:
-    """A record's bytes in a gzip member that starts at ``start``."""
-
-    def __init__(self, file, start: int):
-        self.file, self.start, self.at, self.length = file, start, start, None
-        self.z, self.data, self.left = zlib.decompressobj(31), b"", b""
+        self.body = self.start + cut + 4
+        return data[:cut]
+
+    def block(self, length: int, wanted: bool) -> bytes | None:
+        if self.body + length > self.size:
+            raise BadRecord("block cut off")
+        data = None
+        if wanted:
+            self.file.seek(self.body)
+            data = self.file.read(length)
+        self.start = self.body + length + 4
+        return data
+
+
+class _Gzip:
+    """The same for a file of gzip members, which hold one record each or many."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.at, self.z = file, size, 0, None
+        self.data, self.left, self.start, self.length, self.first = b"", b"", 0, 0, True
+
+    def _open(self) -> bool:
+        """Begin the next member; False at the end of the file."""
+        if self.at >= self.size:
+            return False
+        self.start, self.z, self.left, self.length, self.first = self.at, zlib.decompressobj(31), b"", None, True
+        return True
 
     def _more(self, room: int, chunk: int) -> bool:
-        """Inflate up to ``room`` more bytes; False at the end of the member."""
-        if self.z.eof:
+        """Inflate up to ``room`` more bytes of the member; False at its end."""
+        if self.z is None or self.z.eof:
             return False
         if not self.left:
             self.file.seek(self.at)
             self.left = self.file.read(chunk)
             if not self.left:
-                return False
+                raise BadRecord("gzip member cut off")
             if self.length is None:
                 self.length = 0
                 if len(self.left) > 24 and self.left[3] & 4 and self.left[12:16] == b"sl\x08\0":
                     self.length = struct.unpack("<I", self.left[16:20])[0]
             self.at += len(self.left)
-        self.data += self.z.decompress(self.left, room)
+        try:
+            self.data += self.z.decompress(self.left, room)
+        except zlib.error as exc:
+            raise BadRecord(f"gzip member broken ({exc})") from None
         self.left = self.z.unconsumed_tail
         if self.z.eof:
             self.at -= len(self.z.unused_data)
         return True
 
-    def head(self) -> tuple[bytes, int] | None:
-        while _END not in self.data:
+    def head(self) -> bytes | None:
+        while True:
+            if self.data[:4].strip() or not self.data:
+                if _END in self.data:
+                    break
+            else:
+                # What ends one record is no part of the next.
+                self.data = self.data.lstrip(b"\r\n")
+                continue
             if not self._more(1024, 1024):
-                return None
+                if self.data.strip():
+                    raise BadRecord("headers without an end")
+                self.data = b""
+                if not self._open():
+                    return None
         cut = self.data.index(_END)
-        return self.data[:cut], cut + 4
-
-    def block(self, offset: int, length: int) -> bytes:
-        parts, size = [self.data], len(self.data)
-        while size < offset + length:
-            self.data = b""
-            if not self._more(1 << 20, 1 << 16):
+        head, self.data = self.data[:cut], self.data[cut + 4:]
+        return head
+
+    def block(self, length: int, wanted: bool) -> bytes | None:
+        if not wanted and self.first and self.length:
+            # Written here: the member holds this record alone and says how long it is.
+            if self.start + self.length > self.size:
+                raise BadRecord("gzip member cut off")
+            self.at, self.z, self.data = self.start + self.length, None, b""
+            return None
+        parts, missing = [], length
+        while True:
+            part, self.data = self.data[:missing], self.data[missing:]
+            missing -= len(part)
+            if wanted:
+                parts.append(part)
+            if not missing:
                 break
-            parts.append(self.data)
-            size += len(self.data)
-        self.data = b""
-        return b"".join(parts)[offset:offset + length]
-
-    def next(self, offset: int, length: int) -> int:
-        if self.length:
-            return self.start + self.length
-        while not self.z.eof:
-            self.data = b""
             if not self._more(1 << 20, 1 << 16):
-                break
-        return self.at
+                raise BadRecord("block cut off")
+        self.first = False
+        return b"".join(parts) if wanted else None
+
 
+def read_records(file, size: int, wanted, payload: bool, name: str = "") -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, payload) of the records of one file whose headers are ``wanted``; HTTP headers are no payload.
 
-def read_records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, payload) of the records of one file whose headers are ``wanted``; HTTP headers are no payload."""
-    start = 0
+    Raises :class:`BadRecord` with ``name`` and the place for what is no record.
+    """
     file.seek(0)
-    kind = _Member if file.read(2) == b"\x1f\x8b" else _Plain
-    while start < size:
-        one = kind(file, start)
-        head = one.head()
-        if head is None:
-            return
-        headers, length = parse_headers(head[0]), 0
-        length = int(headers.get("content-length", 0))
-        if wanted(headers):
-            block = one.block(head[1], length) if payload else None
-            if block is not None and headers.get("content-type", "").startswith("application/http") and _END in block:
-                block = block[block.index(_END) + 4:]
-            yield headers, block
-        start = one.next(head[1], length)
+    at = (_Gzip if file.read(2) == b"\x1f\x8b" else _Plain)(file, size)
+    try:
+        while (head := at.head()) is not None:
+            headers = parse_headers(head)
+            try:
+                length = int(headers.get("content-length", ""))
+            except ValueError:
+                length = -1
+            if length < 0:
+                raise BadRecord(f"Content-Length {headers.get('content-length')!r}")
+            take = wanted(headers)
+            block = at.block(length, take and payload)
+            if take:
+                if block is not None and headers.get("content-type", "").startswith("application/http") and _END in block:
+                    block = block[block.index(_END) + 4:]
+                yield headers, block
+    except BadRecord as exc:
+        raise BadRecord(f"{name}, byte {at.start}: {exc}") from None
 
 
 @dataclass
@@ -185,10 +229,17 @@ class Written(WriterCommitMessage):
     names: list
 
 
+def manifests_in(paths) -> list[str]:
+    return sorted(p for p in paths if p.rpartition("/")[2].startswith(MANIFEST) and p.endswith(".json"))
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.payload = options["path"], options.get("payload", "true") == "true"
         self.target = int(options.get("partitionbytes", 32 << 20))
+        self.bad = options.get("bad", "fail")
+        if self.bad not in ("fail", "report"):
+            raise ValueError("option bad is fail or report")
         #: Equality tests on any header, from options named ``header:Name``.
         self.tests = [(k[7:].lower(), {v}) for k, v in options.items() if k.lower().startswith("header:")]
 
@@ -204,10 +255,12 @@ class WarcReader(DataSourceReader):
         system, path = filesystem(self.path)
         found = {i.path: i.size for i in system.get_file_info(fs.FileSelector(path, allow_not_found=False))
                  if i.type == fs.FileType.File}
-        manifest = f"{path.rstrip('/')}/{MANIFEST}"
-        if manifest in found:
-            with system.open_input_stream(manifest) as f:
-                names = [f"{path.rstrip('/')}/{n}" for n in json.loads(f.read())]
+        manifests = manifests_in(found)
+        if manifests:
+            names = []
+            for m in manifests:
+                with system.open_input_stream(m) as f:
+                    names += [f"{path.rstrip('/')}/{n}" for n in json.loads(f.read())]
         else:
             names = [n for n in found if n.endswith((".warc", ".warc.gz"))]
         parts, room = [], 0
@@ -224,15 +277,21 @@ class WarcReader(DataSourceReader):
         wanted = lambda h: all(h.get(n) in values for n, values in self.tests)
         for name, size in partition.files:
             with system.open_input_file(name) as file:
-                for h, block in read_records(file, size, wanted, self.payload):
-                    yield (*[h.get(n) for n in PUSHED.values()], h, block)
+                try:
+                    for h, block in read_records(file, size, wanted, self.payload, name):
+                        yield (*[h.get(n) for n in PUSHED.values()], h, block)
+                except BadRecord as exc:
+                    if self.bad == "fail":
+                        raise
+                    if not self.tests:
+                        yield (*[None] * len(PUSHED), {"x-error": str(exc)}, None)
 
 
 class WarcWriter(DataSourceWriter):
     """Rows of (headers map, block binary); a header with a null value is left out."""
 
-    def __init__(self, options, names):
-        self.path, self.names = options["path"], names
+    def __init__(self, options, names, overwrite):
+        self.path, self.names, self.overwrite = options["path"], names, overwrite
 
     def write(self, iterator):
         system, path = filesystem(self.path)
@@ -256,8 +315,11 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages):
         system, path = filesystem(self.path)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path.rstrip('/')}/{MANIFEST}", compression=None) as f:
+        earlier = manifests_in(i.path for i in system.get_file_info(fs.FileSelector(path)))
+        with system.open_output_stream(f"{path.rstrip('/')}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        for m in earlier if self.overwrite else ():
+            system.delete_file(m)
 
     def abort(self, messages):
         """Without a manifest entry no file is read; what tasks have written stays unlisted."""
@@ -275,7 +337,7 @@ class Warc(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options, schema.names)
+        return WarcWriter(self.options, schema.names, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -68,3 +68,55 @@ def test_unwanted_blocks_are_not_read():
     f = Counting(b"".join(recs))
     assert len(list(op.read_records(f, len(f.getvalue()), lambda h: h["warc-type"] == "b", True))) == 1
     assert f.n < 300_000
+
+
+def test_commits_add_up_and_overwrite(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    page = lambda i: spark.createDataFrame([(i, "u", f"page {i}"), (i + 1, "u", f"page {i + 1}")], "page_id long, url string, html string")
+    ids = lambda: sorted(int(r.headers["x-page-id"]) for r in op.read(spark, path).collect())
+    op.write_pages(page(1), path)
+    op.write_pages(page(3), path)
+    assert ids() == [1, 2, 3, 4]
+    op.page_records(page(7)).write.format("warc").mode("overwrite").save(path)
+    assert ids() == [7, 8]
+
+
+def records_of(data, payload=True, wanted=lambda h: True):
+    return [(h["warc-record-id"], b) for h, b in op.read_records(io.BytesIO(data), len(data), wanted, payload, "x.warc.gz")]
+
+
+def test_many_records_in_one_member():
+    recs = [op.record({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>"}, b"\r\nblock\r\n\r\n%d" % i * (i * 3000)) for i in range(4)]
+    want = [(f"<{i}>", b"\r\nblock\r\n\r\n%d" % i * (i * 3000)) for i in range(4)]
+    whole = gzip.compress(b"".join(recs))
+    assert records_of(whole) == want
+    assert records_of(gzip.compress(b"".join(recs[:3])) + op.member(recs[3])) == want
+    assert records_of(op.member(b"".join(recs[:2])) + gzip.compress(b"".join(recs[2:]))) == want
+    assert [k for k, _ in records_of(whole, payload=False)] == ["<0>", "<1>", "<2>", "<3>"]
+    assert records_of(whole, wanted=lambda h: h["warc-record-id"] == "<2>") == want[2:3]
+
+
+def test_bad_records_name_file_and_byte():
+    import pytest
+    good = op.record({"WARC-Type": "response", "WARC-Record-ID": "<1>"}, b"x" * 5000)
+    odd = good.replace(b"Content-Length: 5000", b"Content-Length: abc")
+    at = len(good)
+    for data, what in ((good + odd, f"byte {at}: Content-Length 'abc'"), (good + good[:-2000], f"byte {at}: block cut off"),
+                       (good + b"WARC/1.1\r\nWARC-Type: x", f"byte {at}: headers without an end"),
+                       (op.member(good) + gzip.compress(good)[:-40], f"byte {len(op.member(good))}: "), (op.member(odd), "byte 0: Content-Length 'abc'"),
+                       (op.member(good) + op.member(good)[:-3], f"byte {len(op.member(good))}: ")):
+        for payload in (True, False):
+            with pytest.raises(op.BadRecord, match="x.warc.gz, " + what.replace("'", ".")):
+                records_of(data, payload)
+
+
+def test_bad_files_are_reported(spark, tmp_path):
+    import pytest
+    good = op.record({"WARC-Type": "response", "WARC-Record-ID": "<1>"}, b"x" * 50)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(good * 3))
+    (tmp_path / "b.warc").write_bytes(good + good.replace(b": 50", b": fifty"))
+    with pytest.raises(Exception, match="b.warc, byte"):
+        op.read(spark, str(tmp_path)).collect()
+    got = op.read(spark, str(tmp_path), bad="report").collect()
+    assert sum(r.record_id == "<1>" for r in got) == 4 and len(got) == 5
+    assert [r.headers["x-error"].endswith(f"b.warc, byte {len(good)}: Content-Length 'fifty'") for r in got if "x-error" in r.headers] == [True]
