@@ -1,14 +1,15 @@
 """Packing token sequences by a cutting-stock linear program with column generation.
 
-A document becomes token ids and one end id, cut into pieces of ``LIMIT`` ids and a rest. Piece lengths are
-rounded up to classes of ``UNIT`` ids; only the histogram over these classes, of fixed size, comes to the driver. There a linear program over
+A document becomes token ids and one end id, cut into pieces of ``LIMIT`` ids and a rest. Pieces of up to ``EXACT`` ids are classed by
+their length, others by their length rounded up to ``UNIT`` ids; only the histogram over these classes, of fixed size, comes to the driver. There a linear program over
 patterns (how many pieces of each class share a sequence) is solved: starting from one pattern a class, a knapsack by dynamic
 programming over the dual prices gives the next pattern until none pays. Multiplicities are rounded
 down, the few pieces left are packed first-fit decreasing, and pieces ranked within their class take the pattern
 slots in order.
 
 Defined results: a null or empty text is the end id alone; repeated rows are documents of their own and each is
-packed; null ids are kept; an empty table gives no rows; further columns are not carried into pieces.
+packed; null ids are kept; the name of an added token of the vocabulary in a text is that token, as the tokenizer has it; short pieces leave
+no room unused, however short; an empty table gives no rows; further columns are not carried into pieces.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import ranked, table, written
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 1
-LIMIT, UNIT = 2048, 16
+LIMIT, UNIT, EXACT = 2048, 16, 64
 #: Words whose ids a worker remembers, and the longest such word: bounds its memory, not the result.
 WORDS_KEPT, LONGEST_KEPT = 800_000, 64
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -74,19 +75,20 @@ class Encoder:
 
     A pre-token of this byte-level vocabulary starts at a space or never holds one, except
     among consecutive spaces. So a text without such runs is the concatenation of its words, each with
-    the space before it, and ids of words are remembered; other texts are encoded in one go.
+    the space before it, and ids of words are remembered; other texts, and those that name an added token, are encoded in one go.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        #: Texts of added tokens, which are found before all else.
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.known, self.start = _Known(tokenizer, " "), _Known(tokenizer, "")
         self.known.start = self.start
 
     def __call__(self, text: str) -> bytes:
         first, *words = text.split(" ")
-        if "" in words or not first:
+        if "" in words or not first or any(t in text for t in self.added):
             return self.start.whole(text)
         return self.start[first] + b"".join(map(self.known.__getitem__, words))
 
@@ -136,23 +138,26 @@ def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
 
 
 def knapsack(price: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The dearest pattern that fits into ``room``, and its price; any number of each class, sizes ascending."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    fit = np.searchsorted(size, np.arange(room + 1), side="right")
-    for w in range(1, room + 1):
-        best[w] = best[w - 1]
-        if fit[w]:
-            value = best[w - size[:fit[w]]] + price[:fit[w]]
-            k = value.argmax()
-            if value[k] > best[w]:
-                best[w], pick[w] = value[k], k
+    """The dearest pattern that fits into ``room``, and its price; any number of each class.
+
+    Dynamic programming over the room, class by class; of each class 1, 2, 4, ... pieces are offered, which make up any number.
+    """
+    best, offers = np.zeros(room + 1), []
+    for c in np.argsort(-price / size):
+        n = 1
+        while n * size[c] <= room and price[c] > 0:
+            width = n * size[c]
+            with_it = best[:-width] + n * price[c]
+            better = with_it > best[width:] + 1e-12
+            if better.any():
+                best[width:][better] = with_it[better]
+                offers.append((c, n, width, better))
+            n *= 2
     counts, w = np.zeros(len(size)), room
-    while w > 0:
-        if pick[w] < 0:
-            w -= 1
-        else:
-            counts[pick[w]] += 1
-            w -= size[pick[w]]
+    for c, n, width, better in reversed(offers):
+        if w >= width and better[w - width]:
+            counts[c] += n
+            w -= width
     return float(best[room]), counts
 
 
@@ -226,15 +231,20 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int,
     return rows
 
 
-def pack(cut: DataFrame, limit: int = LIMIT, unit: int = UNIT) -> DataFrame:
+def class_of(length: Column, unit: int = UNIT, exact: int = EXACT) -> Column:
+    """The room a piece is given: its length, rounded up to ``unit`` beyond ``exact``."""
+    return F.when(length <= exact, length).otherwise(F.ceil(length / unit) * unit).cast("int")
+
+
+def pack(cut: DataFrame, limit: int = LIMIT, unit: int = UNIT, exact: int = EXACT) -> DataFrame:
     """``cut`` with sequence_id (gapless from 0) and offset (gapless from 0 within the sequence)."""
     spark = cut.sparkSession
-    classed = cut.withColumn("_class", F.ceil(F.col("length") / unit).cast("int"))
-    histogram = {r[0]: r[1] for r in classed.groupBy("_class").count().collect()}  # at most limit / unit rows
-    slots = spark.createDataFrame(plan(histogram, -(-limit // unit)),
+    classed = cut.withColumn("_class", F.least(class_of(F.col("length"), unit, exact), F.lit(limit)))
+    histogram = {r[0]: r[1] for r in classed.groupBy("_class").count().collect()}  # at most exact + limit / unit rows
+    slots = spark.createDataFrame(plan(histogram, limit),
                                   "_class int, _from long, _to long, _each long, _first long, _times long")
     at = ranked(classed, ["_class"], ["doc_id", "start", "ids_crc32"], "_rank")
-    # As many rows as patterns have classes: their number depends on limit / unit, not on the input.
+    # As many rows as patterns have classes: their number depends on the number of classes, not on the input.
     placed = at.join(F.broadcast(slots), (at["_class"] == slots["_class"]) & (F.col("_rank") >= F.col("_from"))
                      & (F.col("_rank") < F.col("_to"))).drop(slots["_class"])
     # Neighbouring ranks of equal length differ little, so slots of one sequence take distant ranks.

@@ -11,7 +11,6 @@ from crease.llm import op08_packing as op
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 ENCODER = op.Encoder(PATH)
 
 
@@ -69,5 +68,28 @@ def test_round_trip(spark, tmp_path):
         assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and s[-1][0] + s[-1][1] <= op.LIMIT
 
 
+def test_added_tokens_are_themselves():
+    assert ids_of("Hello <|endoftext|> world") == [15496, 220, 50256, 995]
+    assert np.frombuffer(ENCODER("Hello <|endoftext|> world"), "<u4").tolist() == [15496, 220, 50256, 995]
+
+
+def test_knapsack_equals_exhaustive_search():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n, room = int(rng.integers(1, 5)), int(rng.integers(5, 30))
+        size, price = np.sort(rng.choice(np.arange(1, 12), n, replace=False)), rng.random(n)
+        best = [0.0] * (room + 1)
+        for w in range(1, room + 1):
+            best[w] = max([best[w - 1], *[best[w - s] + p for s, p in zip(size, price) if s <= w]])
+        value, counts = op.knapsack(price, size, room)
+        assert abs(value - best[room]) < 1e-9 and abs((counts * price).sum() - value) < 1e-9 and (counts * size).sum() <= room
+
+
+def test_short_texts_leave_little_padding(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 4 = 3 THEN '' ELSE 'hello there' END AS text")
+    r = op.pack_documents(docs).selectExpr("sum(length) AS tokens", "count(DISTINCT sequence_id) AS n").first()
+    assert r.tokens == 15_000 * 3 + 5_000 and r.n * 2048 < 1.02 * r.tokens + 2048
+
+
 def test_empty_table(spark):
     assert op.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
