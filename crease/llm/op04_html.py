@@ -21,7 +21,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import free_name, table
+from .common import free_name, table, written
 
 #: A path wins if it has this share of the votes of its host's best path.
 LEAST_SHARE = 0.1
@@ -42,12 +42,21 @@ BLOCKS = CONTAINERS | set(
     "hgroup head html legend li menu nav option p pre search summary tfoot th thead title".split())
 LEFT_OUT = set("aside button dialog footer form head menu nav search title".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-#: Words of classes and ids of what is not main text.
-NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumbs?|byline-links|comments?|commentlist|consent|cookies?|"
-    r"copyright|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|overlay|pager|"
-    r"pagination|popup|promo|promoted|promotion|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|site-header|"
-    r"skip-link|social|sponsored?|subscribe|toolbar|widget)(?:$|[-_\s])", re.I)
+#: Fixed value: words that name what is not main text.
+NAMES = set(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination "
+    "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored "
+    "subscribe toolbar widget".split())
+#: Fixed value: whole names of the same.
+WHOLE_NAMES = {"byline-links", "site-header", "skip-link"}
+#: Fixed value: first and last words of names that tell a state or an arrangement, not what an element is.
+STATES = set("no not has have with without is are js hide hides hidden show shows when if above below".split())
+STATE_ENDS = set("enabled disabled active inactive on off open opened closed visible shown present layout page body wrapper true false".split())
+#: Elements that only tag and role judge inside an article, whose sections and headings may be about anything.
+CONTENT = set("section h1 h2 h3 h4 h5 h6 p table thead tbody tr td th figure figcaption blockquote pre dl dt dd details summary li".split())
+#: Fixed value: words that inside an article may name a part of it.
+MILD = set("comment notice promotion recommended related reply respond search toolbar widget copyright banner notification".split())
 MAIN = re.compile(r"(?:^|[-_\s])(?:article|content|entry|main|post|story)(?:$|[-_\s])", re.I)
 
 
@@ -55,6 +64,29 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
+def _named_out(tag: str, names: str, in_article: bool) -> bool:
+    """Whether a class or an id names a part of the page that is no main text.
+
+    A name counts by its first and its last word: ``ad-slot`` and ``left-sidebar`` do, ``no-sidebar`` and ``share-enabled`` tell a
+    state of something else. An element also called content, post or the like is not left out.
+    """
+    if in_article and tag in CONTENT:
+        return False
+    out = False
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        if not words:
+            continue
+        if name in ("content", "main", "article", "entry", "post", "story") or "-".join(words[-2:]) in (
+                "main-content", "entry-content", "post-content", "article-content", "article-body", "post-body", "page-content"):
+            return False
+        if words[0] in STATES or words[-1] in STATE_ENDS:
+            continue
+        ends = {words[0], words[-1]} - (MILD if in_article and len(words) > 1 else set())
+        out = out or bool(ends & NAMES) or name in WHOLE_NAMES
+    return out
+
+
 def _whole(path: str) -> str:
     """The path of the outermost article around ``path``, or else of the nearest main, or else ``path``."""
     steps = path.split(">")
@@ -67,14 +99,17 @@ def _whole(path: str) -> str:
 class Page:
     """The blocks of text of a page outside what is left out, and its containers by path."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, by_name: bool = True):
+        self.by_name = by_name
+        #: Characters of text that names alone left out.
+        self.named = 0
         self.blocks: list[str] = []
         self.inside: dict[str, list[int]] = defaultdict(list)
         self.score: dict[str, float] = defaultdict(float)
         self._text: list[str] = []
         self._links = 0
-        #: Open elements: tag, (path, weight) of the containers around, left out, in an article.
-        self._open: list[tuple[str, tuple, bool, bool]] = [("", (("", 1.0),), False, False)]
+        #: Open elements: tag, (path, weight) of the containers around, left out (1 by name alone, 2 otherwise), in an article.
+        self._open: list[tuple[str, tuple, int, bool]] = [("", (("", 1.0),), 0, False)]
         #: How many elements of each tag are open.
         self._count: dict[str, int] = defaultdict(int)
         at, endless = 0, set()
@@ -99,7 +134,9 @@ class Page:
         self._flush()
 
     def _add(self, raw: str) -> None:
-        if not self._open[-1][2]:
+        if self._open[-1][2] == 1:
+            self.named += len(raw.strip())
+        elif not self._open[-1][2]:
             text = references.unescape(raw)
             self._text.append(text)
             if self._count["a"] > 0:
@@ -138,11 +175,17 @@ class Page:
             a = _attributes(rest)
             classes = a.get("class", "")
             names = f"{classes} {a.get('id', '')}".strip()
-            out = (out or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-                   or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
-                   or (tag not in ("html", "body", "article", "main") and bool(names) and bool(NAMES.search(names)))
-                   or (tag == "article" and bool(re.search(r"(?:^|[-_\s])(?:comment|reply)", names, re.I))))
-        out = out or tag in LEFT_OUT or (tag == "header" and not in_article)
+            if (a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+                    or re.search(r"display\s*:\s*none", a.get("style", ""), re.I)
+                    or (tag == "article" and re.search(r"(?:^|[-_\s])(?:comment|reply)", names, re.I))):
+                out = 2
+            elif not out and self.by_name and tag not in ("html", "body", "article", "main") and _named_out(tag, names, in_article):
+                out = 1
+        if tag in LEFT_OUT or (tag == "header" and not in_article):
+            out = 2
+        elif tag in ("article", "main") and out == 1 and not in_article:
+            # The article itself is main text, whatever a wrapper around it is called.
+            out = 0
         if tag in CONTAINERS and tag != "body" and len(chain) < DEEPEST:
             step = ".".join([tag, *sorted(set(re.sub(r"\d+", "0", classes).replace(">", "").lower().split()))])
             # Containers of one name around each other are one, as are those beyond the depth and the last above it.
@@ -195,6 +238,13 @@ class Page:
         return " ".join(self.blocks[i] for i in self.inside[_whole(path)])
 
 
+def page_of(html: str | None) -> Page:
+    """The page; where names left out nearly all of its text, names do not count, as they mean something else there."""
+    page = Page(html or "")
+    kept = sum(map(len, page.blocks))
+    return Page(html, by_name=False) if page.named > 20 * kept and not re.search("comment|repl", html, re.I) or (page.named and not kept) else page
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
 
@@ -208,7 +258,7 @@ def host_paths(pages: DataFrame, least_share: float = LEAST_SHARE, most: int = M
         for batch in batches:
             votes: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for path, n in Page(html.as_py() or "").votes().items():
+                for path, n in page_of(html.as_py()).votes().items():
                     sums = votes[host, path]
                     sums[0] += n
                     sums[1] += 1
@@ -231,15 +281,17 @@ def host_paths(pages: DataFrame, least_share: float = LEAST_SHARE, most: int = M
 
 
 def extract(pages: DataFrame, name: str = "text", **params) -> DataFrame:
-    """``pages`` (url, html, ...) with the main text."""
+    """``pages`` (url, html, ...) with the main text as column ``name``, which takes the place of one that is called so."""
     host, paths = free_name(pages, "_host"), free_name(pages, "_paths")
-    won = host_paths(pages, **params).select(F.col("host").alias(host), F.col("paths").alias(paths))
+    # Written, so that its size is known: a small table is broadcast and html stays where it is, and beyond that a
+    # host with very many pages is split by adaptive execution.
+    won = written(host_paths(pages, **params), "paths").select(F.col("host").alias(host), F.col("paths").alias(paths))
     joined = pages.withColumn(host, host_of(F.col("url"))).join(won, host, "left")
 
     @F.pandas_udf(T.StringType())
     def read(html, winners):
         import pandas as pd
-        return pd.Series([Page(h or "").text(list(w) if w is not None else []) for h, w in zip(html, winners)], dtype=object)
+        return pd.Series([page_of(h).text(list(w) if w is not None else []) for h, w in zip(html, winners)], dtype=object)
 
     return joined.withColumn(name, read("html", paths)).drop(host, paths)
 

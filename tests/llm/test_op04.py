@@ -34,6 +34,21 @@ def test_embedded_elements():
         assert op.Page(f"<article><p>{x}</p></article>").text([]) == text
 
 
+def test_names_of_wrappers_and_of_parts():
+    text = "<p>One two three.</p><p>Four five six.</p>"
+    for x in ('<div class="layout no-sidebar"><article>%s</article></div>', '<div class="has-navbar"><main>%s</main></div>', '<div class="content share-enabled">%s</div>',
+              '<div class="with-footer js-menu">%s</div>', '<div id="search"><article>%s</article></div>', '<div class="sidebar">%s</div>',
+              '<div class="page modal-open"><div class="main-content newsletter">%s</div></div><div class="ads">x</div>'):
+        assert op.page_of(x % text).text([]) == "One two three. Four five six.", x
+    for x in ('<section class="related-work">%s</section>', '<section id="search">%s</section>', '<div class="table-widget"><table><tr><td>%s</table></div>',
+              '<h2 id="reply">%s</h2>', '<div class="search-results-of-the-study">%s</div>'):
+        assert op.page_of("<article><h1>Head</h1><p>intro</p>" + x % "inner words" + "</article><aside>no</aside>").text([]) == "Head intro inner words", x
+    for x in ('<div class="ad-slot">no</div>', '<div class="left-sidebar">no</div>', '<div class="social share">no</div>', '<div class="related">no</div>',
+              '<ul class="breadcrumbs"><li>no</ul>', '<div id="newsletter-signup">no</div>', '<div class="cookie_notice">no</div>', '<div class="site-header">no</div>'):
+        for whole in ("<article>%s</article>", "<div class='post'>%s</div>"):
+            assert op.page_of(whole % (text + x)).text([]) == "One two three. Four five six.", x
+
+
 def test_whole_article():
     long = "long text of a section, " * 40
     for x in ("<h1>Head</h1><p>intro<section><p>%s</section><section><p>end</section>", "<header><h1>Head</h1></header>intro<div class='entry-content'>%s</div>end",
