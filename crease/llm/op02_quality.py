@@ -3,7 +3,8 @@
 A line with a word is removed if no sentence ends in it, if it has many symbols for its length, is a row of
 navigation links, or is a short line of boilerplate, whose phrases are whole words. Lines without a word stay. A document is
 rejected if base rules fail (few words, many repeated three-word windows) or if the lines removed hold
-more than ``most_lost`` percent of the characters of its lines.
+more than ``most_lost`` percent of the characters of its lines. Boilerplate phrases are those of four languages; a line in another
+language is judged by the other rules alone.
 
 Defined results: a null text is an empty one (no words, rejected); rows are judged one by one, so
 repeated rows get equal results and an empty table gives none; further columns stay. Windows of three words
@@ -21,8 +22,12 @@ SYMBOLS, BARS = "#*$%&|<>", "|»›·•"
 LATIN_END = r"""[.!?…:;"”'’)\]»]([\x20\x09-\x0D]|\z)"""
 #: The same with the ends of other scripts; Chinese and Japanese have no space after them.
 SENTENCE_END = LATIN_END.replace("»]", "»।॥۔؟؛։።፧፨」』）：；]") + "|[。．！？｡]"
+#: Fixed value: boilerplate phrases in English, German, French and Spanish; other languages have none.
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
-               "uses cookies", "enable javascript", "click here", "sign up", "log in", "read more", "share this")
+               "uses cookies", "enable javascript", "click here", "sign up", "log in", "read more", "share this",
+               "alle rechte vorbehalten", "verwendet cookies", "hier klicken", "jetzt anmelden", "mehr lesen",
+               "tous droits réservés", "politique de confidentialité", "utilise des cookies", "cliquez ici", "lire la suite",
+               "todos los derechos reservados", "política de privacidad", "utiliza cookies", "haga clic aquí", "leer más")
 PHRASES = rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(BOILERPLATE)})([^\p{{L}}\p{{N}}_]|\z)"
 MOST_SYMBOLS, LEAST_BARS, BOILERPLATE_WORDS, MOST_LOST, LEAST_WORDS, MOST_REPEATED = 5, 3, 30, 30, 50, 50
 
@@ -107,7 +112,7 @@ def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"[w for w in string_split_regex(line, '[\x20\x09-\x0D]+') if w <> '']"
-_SQL_END = LATIN_END.replace("'", "''")
+_SQL_END = SENTENCE_END.replace("'", "''")
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 a AS (SELECT r, generate_subscripts(s, 1) AS k, unnest(s) AS line FROM (SELECT r, string_split(text, chr(10)) AS s FROM d)),
@@ -115,7 +120,7 @@ l AS (SELECT r, k, line, {_WORDS} AS words,
              length(line) - length(translate(line, '{SYMBOLS}', '')) AS symbols,
              length(line) - length(translate(line, '{BARS}', '')) AS bars FROM a),
 v AS (SELECT *, len(words) > 0 AND (NOT regexp_matches(line, '{_SQL_END}') OR symbols * 100 > length(line) * {MOST_SYMBOLS}
-             OR bars >= {LEAST_BARS} OR (len(words) <= {BOILERPLATE_WORDS} AND ({' OR '.join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}))) AS fails
+             OR bars >= {LEAST_BARS} OR (len(words) <= {BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{PHRASES}'))) AS fails
       FROM l),
 c AS (SELECT r, sum(len(words))::BIGINT AS n_words, sum(length(array_to_string(words, '')))::BIGINT AS word_chars,
              sum(symbols)::BIGINT AS n_symbols,
