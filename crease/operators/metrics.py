@@ -155,11 +155,10 @@ def batters_named_like(t: CricketTables, fragment: str) -> DataFrame:
     """Runs of batters whose name contains ``fragment`` (F1, case-insensitive LIKE)."""
     p = t.players.filter(C.name_like("player_name", fragment)).select(
         F.col("player_id").alias("striker_id"), "player_name")
-    agg = (t.deliveries.select("striker_id", "runs_scored", "wides")
-           .groupBy("striker_id")
-           .agg(C.batter_runs().cast("long").alias("runs"), C.balls_faced().alias("balls_faced")))
-    # The name filter is selective; the semi-join shrinks deliveries-side groups to matching ids.
-    return agg.join(p, "striker_id")
+    # The filter goes first: a player is one row, so this join adds none, and only the deliveries of the named are aggregated.
+    d = t.deliveries.select("striker_id", "runs_scored", "wides").join(p, "striker_id")
+    return d.groupBy("striker_id", "player_name").agg(C.batter_runs().cast("long").alias("runs"), C.balls_faced().alias("balls_faced")).select(
+        "striker_id", "runs", "balls_faced", "player_name")
 
 
 def franchise_wins(t: CricketTables) -> DataFrame:

@@ -82,7 +82,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="crease-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    # Later calls find it here; the setting itself is fixed once a session runs.
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
