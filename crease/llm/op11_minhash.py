@@ -9,8 +9,8 @@ Equal sets are one representative. A representative is first compared with the s
 its tables, which links groups of copies by stars. Tables that this leaves in several components are resolved without loss: two sets of
 Jaccard 0.85 share one of the ``floor(0.15 n) + 1`` rarest shingles of either, in any common order; ordered by how many
 of these sets hold them, what a template or a shared passage puts into many sets drops out. Sets that share such a shingle are compared if
-in different components: first all with the shingle's most typical set, then in small groups directly, and in large ones
-tile by tile in numpy, where a group gives a spanning forest and never its pairs.
+in different components: first all with the shingle's most typical set, then those whose shingle stands so early in both that they can
+still be similar, a bound that is part of the join.
 
 Defined results: null and empty texts, and such without a word, have an empty set, link with nothing and are their own component; rows are
 documents of their own, also where rows or doc_ids repeat; null doc_ids count only where a component has no other, whose id is
@@ -21,6 +21,7 @@ are told apart by 64-bit hashes, sets by 128 bits of a digest.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table, thinned, written
 from .components import components
-from .op03_simhash import _unite
 
 WIDTH, HALVES, ROWS = 3, 11, 3
 #: Similarity at which documents link, in hundredths.
 SIMILAR = 85
-#: Sets compared directly in a group that shares a rare shingle; sets in a tile of a larger one.
-SMALL, TILE = 32, 128
+#: In a larger group that shares a rare shingle, sets are compared with the most typical one first.
+SMALL = 32
 #: Bits of the table that counts shingles to order them: 2 ** BITS numbers, whatever the input.
 BITS = 18
 #: Words whose hashes a worker remembers; characters hashed at a time.
-WORDS_KEPT, CHUNK = 1_000_000, 1 << 20
+WORDS_KEPT, CHUNK = 250_000, 1 << 20
 
 
 class _Hashes(dict):
@@ -111,38 +111,51 @@ def half_keys(shingles: np.ndarray, halves: int = HALVES, rows: int = ROWS) -> n
     return keys
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with (t1, t2), two hashes that name the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), "text")
+
+
 def sketched(docs: DataFrame, width: int = WIDTH, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
-    """(row, doc_id, n, k1, k2, halves, shingles): k1 and k2, null for an empty set, are the set's digest."""
-    schema = "doc_id long, n long, k1 long, k2 long, halves array<long>, shingles array<long>"
+    """(doc_id, t1, t2, n, k1, k2, halves): k1 and k2, null for an empty set, are the set's digest. The set itself is not kept."""
+    schema = "doc_id long, t1 long, t2 long, n long, k1 long, k2 long, halves array<long>"
 
     def sketch(batches):
         for batch in batches:
-            out, size = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
+            made = []
+            for text in batch.column(3):
                 s = shingle_set(text.as_py(), width)
-                k = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8") if len(s) else (None, None)
-                h = half_keys(s, halves, rows) if len(s) else np.zeros(0, dtype=np.uint64)
-                out.append((doc_id.as_py(), len(s), k[0], k[1], h, s))
-                size += len(s) + 1
-                if size > 1 << 20:
-                    yield _sketch_batch(out)
-                    out, size = [], 0
-            yield _sketch_batch(out)
+                k = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8").tolist() if len(s) else (None, None)
+                made.append((len(s), *k, half_keys(s, halves, rows) if len(s) else s))
+            n, k1, k2, found = zip(*made) if made else ((),) * 4
+            longs = [pa.array(c, pa.int64()) for c in (n, k1, k2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *longs, _lists(found)], ["doc_id", "t1", "t2", "n", "k1", "k2", "halves"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, schema)
-    return written(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    return written(_texts(docs).mapInArrow(sketch, schema), "sketches")
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: Sequence[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-    values = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.uint64)
+    values = np.concatenate(arrays) if len(arrays) else np.zeros(0, dtype=np.uint64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
-def _sketch_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 6
-    arrays = [pa.array([None if x is None else int(x) for x in c], pa.int64()) for c in cols[:4]]
-    return pa.RecordBatch.from_arrays([*arrays, _lists(list(cols[4])), _lists(list(cols[5]))], ["doc_id", "n", "k1", "k2", "halves", "shingles"])
+def sets_of(docs: DataFrame, reps: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(rep, shingles) of the representatives (rep, t1, t2), made again from the whole texts they name."""
+    texts = thinned(_texts(docs).drop("doc_id"), "t1", reps.select("t1")).groupBy("t1", "t2").agg(F.min("text").alias("text"))
+
+    def shingle(batches):
+        for batch in batches:
+            reps_, made, size = batch.column(0), [], 0
+            first = 0
+            for i, text in enumerate(batch.column(1)):
+                made.append(shingle_set(text.as_py(), width))
+                size += len(made[-1])
+                if size > 1 << 20 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([reps_[first:i + 1], _lists(made)], ["rep", "shingles"])
+                    first, made, size = i + 1, [], 0
+
+    return texts.join(reps, ["t1", "t2"]).select("rep", "text").mapInArrow(shingle, "rep long, shingles array<long>")
 
 
 def tables_of(reps: DataFrame, halves: int = HALVES) -> DataFrame:
@@ -193,7 +206,10 @@ def frequencies(sets: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def rarest(sets: DataFrame, counts, similar: int) -> DataFrame:
-    """(rep, shingle, typical): of each set the shingles of which every similar set has one; typical is the set's mean rank of frequency."""
+    """(rep, size, shingle, place, typical): of each set the rarest shingles, with their places in the common order.
+
+    Every similar set has one of those listed. ``typical`` is the set's mean logarithm of frequency.
+    """
     def cut(batches):
         freq = counts.value
         for batch in batches:
@@ -204,92 +220,44 @@ def rarest(sets: DataFrame, counts, similar: int) -> DataFrame:
                 n = freq[s & (len(freq) - 1)]
                 # A similar set shares at least ceil(similar * n) of them, so one of these.
                 few = len(s) - -(-similar * len(s) // 100) + 1
-                out.append((rep, s[np.lexsort((s, n))[:few]], float(np.log1p(n).mean())))
+                out.append((rep, len(s), s[np.lexsort((s, n))[:few]], float(np.log1p(n).mean())))
                 size += few
                 if size > 1 << 18:
                     yield _rare_batch(out)
                     out, size = [], 0
             yield _rare_batch(out)
 
-    return sets.select("rep", "shingles").mapInArrow(cut, "rep long, shingle long, typical double")
+    return sets.select("rep", "shingles").mapInArrow(cut, "rep long, size long, shingle long, place long, typical double")
 
 
 def _rare_batch(rows: list[tuple]) -> pa.RecordBatch:
-    sizes = [len(r[1]) for r in rows]
-    reps = np.repeat(np.array([r[0] for r in rows], dtype=np.int64), sizes)
-    shingles = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, dtype=np.int64)
-    typical = np.repeat(np.array([r[2] for r in rows], dtype=np.float64), sizes)
-    return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(shingles.astype(np.int64)), pa.array(typical)], ["rep", "shingle", "typical"])
-
-
-def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (from ``left``, from ``right``) of similar sets."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
-    common = np.zeros((len(left), len(right)), dtype=np.float32)
-    row, column = np.full(len(sets), -1), np.full(len(sets), -1)
-    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
-    for first in range(0, len(values), 8192):
-        a, b = np.searchsorted(at, (first, first + 8192))
-        who, what = owner[a:b], at[a:b] - first
-        x, y = np.zeros((len(left), 8192), dtype=np.float32), np.zeros((len(right), 8192), dtype=np.float32)
-        in_x, in_y = row[who] >= 0, column[who] >= 0
-        x[row[who[in_x]], what[in_x]] = 1
-        y[column[who[in_y]], what[in_y]] = 1
-        common += x @ y.T
-    common = common.astype(np.int64)
-    i, j = np.nonzero(common * (100 + similar) >= (sizes[left][:, None] + sizes[right][None, :]) * similar)
-    return left[i], right[j]
-
-
-def by_tiles(rest: DataFrame, sets: DataFrame, similar: int, tile: int) -> DataFrame:
-    """Edges (a, b) that connect similar sets of different components that share a shingle: (shingle, rep, root, n) in pairs of tiles."""
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    rows = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.join(sets, "rep").select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                                         (F.col("own") <= F.col("other")).alias("side"), "rep", "root", "shingles")
-    keys = ["shingle", "i", "j"]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-
-    def compare(batches):
-        def edges(key, run):
-            reps = np.array([r[1] for r in run], dtype=np.int64)
-            roots, label = np.unique([r[2] for r in run], return_inverse=True)
-            sets_, side = [r[3] for r in run], np.array([r[0] for r in run])
-            all_ = np.arange(len(run))
-            left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if key[1] != key[2] else (all_, all_)
-            a, b = similar_pairs(sets_, left, right, similar) if len(left) and len(right) and len(roots) > 1 else (all_[:0], all_[:0])
-            # Of links between components a spanning forest is enough.
-            found, state = [], np.arange(len(roots))
-            for x, y in zip(a, b):
-                if state[label[x]] != state[label[y]]:
-                    state = _unite(state, label[[x]], label[[y]])
-                    found.append((x, y))
-            x, y = (np.array(found, dtype=np.int64).reshape(-1, 2)).T
-            return pa.RecordBatch.from_arrays([pa.array(reps[x]), pa.array(reps[y])], ["a", "b"])
-
-        key, run = None, []
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            lists = batch.column(6)
-            for i, row in enumerate(zip(*cols)):
-                if row[:3] != key:
-                    if len(run) > 1:
-                        yield edges(key, run)
-                    key, run = row[:3], []
-                run.append((*row[3:], lists[i].values.to_numpy(zero_copy_only=False)))
-        if len(run) > 1:
-            yield edges(key, run)
-
-    return dealt.mapInArrow(compare, "a long, b long")
-
-
-def linked(reps: DataFrame, sketches: DataFrame, halves: int = HALVES, similar: int = SIMILAR, small: int = SMALL, tile: int = TILE) -> DataFrame:
-    """(node, root) of the representatives (rep, halves) that are similar to another one."""
+    sizes = [len(r[2]) for r in rows]
+    many = lambda i, kind: np.repeat(np.array([r[i] for r in rows], dtype=kind), sizes)
+    join = lambda arrays: np.concatenate(arrays).astype(np.int64) if arrays else np.zeros(0, dtype=np.int64)
+    columns = [many(0, np.int64), many(1, np.int64), join([r[2] for r in rows]), join([np.arange(n) for n in sizes]), many(3, np.float64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "size", "shingle", "place", "typical"])
+
+
+def by_rarest(rare: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that may be similar, from (shingle, rep, root, size, place).
+
+    Similar sets x and y share ``s / (1 + s) * (|x| + |y|)`` shingles or more. Their first common shingle in the order has all others
+    behind it in both, which bounds the places it may have; of the smaller set only shingles up to a place half as far are needed.
+    The bound is part of the join, so what shares a template only never leaves it.
+    """
+    cols = ["shingle", "rep", "root", "size", "place"]
+    x = rare.select(*cols).alias("x")
+    y = rare.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * (2 * similar) / (100 + similar) - 1e-6)).select(*cols).alias("y")
+    smaller_first = (F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.rep") < F.col("x.rep")))
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & smaller_first
+                 & (left * (100 + similar) >= (F.col("x.size") + F.col("y.size")) * similar))
+    return _pairs(met.select(F.col("x.rep").alias("one"), F.col("y.rep").alias("other")), "one", "other")
+
+
+def linked(reps: DataFrame, docs: DataFrame, width: int = WIDTH, halves: int = HALVES, similar: int = SIMILAR,
+           small: int = SMALL) -> DataFrame:
+    """(node, root) of the representatives (rep, t1, t2, halves) that are similar to another one."""
     spark = reps.sparkSession
     banded = written(tables_of(reps, halves), "tables")
     shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
@@ -297,8 +265,8 @@ def linked(reps: DataFrame, sketches: DataFrame, halves: int = HALVES, similar:
     members = written(thinned(banded, "key", shared.select("key")).join(shared, "key"), "members")
     stars = members.groupBy("rep").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     stars = written(_pairs(stars.select("rep", F.explode(F.array("low", "high")).alias("other")), "rep", "other"), "pairs")
-    of_rep = lambda keys: thinned(sketches.select(F.col("row").alias("rep"), "shingles"), "rep", keys).join(keys, "rep", "left_semi")
-    sets = written(of_rep(members.select("rep").distinct()), "sets")
+    wanted = written(reps.select("rep", "t1", "t2").join(members.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    sets = written(sets_of(docs, wanted, width), "sets")
     links = written(verified(stars, sets, similar), "links")
     roots = written(components(links, "a", "b"), "roots")
     rest = _rooted(members.select("key", "rep"), roots, "key").select("rep").distinct()
@@ -312,22 +280,20 @@ def linked(reps: DataFrame, sketches: DataFrame, halves: int = HALVES, similar:
     met = rare.join(typical, "shingle").filter("root <> hub.root").groupBy("rep").agg(F.max("hub").alias("hub"))
     links = links.unionByName(written(verified(_pairs(met.select("rep", F.col("hub.rep").alias("other")), "rep", "other"), rest, similar), "links"))
     roots = written(components(links, "a", "b"), "roots")
-    rare = _rooted(rare.select("shingle", "rep"), roots, "shingle")
-    few, many = rare.filter(F.col("n") <= small), rare.filter(F.col("n") > small)
-    x, y = few.select("shingle", "rep", "root").alias("x"), few.select("shingle", "rep", "root").alias("y")
-    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.root") != F.col("y.root")))
-    near = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = verified(near, rest, similar).unionByName(by_tiles(many, rest, similar, tile))
+    rare = _rooted(rare.drop("root", "n"), roots, "shingle")
+    more = verified(written(by_rarest(rare, similar), "pairs"), rest, similar)
     return written(components(links.unionByName(written(more, "links")), "a", "b"), "roots")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, halves: int = HALVES, rows: int = ROWS, similar: int = SIMILAR,
-                    small: int = SMALL, tile: int = TILE) -> DataFrame:
+                    small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
     sketches = sketched(docs, width, halves, rows)
-    equal = sketches.filter(F.col("k1").isNotNull()).groupBy("k1", "k2", "halves").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
-    equal = written(equal, "equal")
-    roots = linked(equal.select("rep", "halves"), sketches, halves, similar, small, tile)
+    # Equal sets have equal half keys. One of their texts stands for all.
+    one = F.min(F.struct("t1", "t2")).alias("t")
+    equal = sketches.filter(F.col("k1").isNotNull()).groupBy("k1", "k2", "halves").agg(one, F.min("doc_id").alias("least"))
+    equal = written(equal.select("k1", "k2", "halves", "t.t1", "t.t2", "least", F.monotonically_increasing_id().alias("rep")), "equal")
+    roots = linked(equal.select("rep", "t1", "t2", "halves"), docs, width, halves, similar, small)
     rooted = equal.select("k1", "k2", "rep", "least").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     rooted = written(rooted.withColumn("root", F.coalesce("root", "rep")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -75,7 +75,7 @@ def test_template_group_loses_no_link(spark):
     df = spark.createDataFrame(data, "doc_id long, text string")
     want = brute(data)
     assert sorted(rows(op.near_duplicates(df)), key=str) == want
-    assert sorted(rows(op.near_duplicates(df, small=3, tile=7)), key=str) == want
+    assert sorted(rows(op.near_duplicates(df, small=3)), key=str) == want
     assert len({w[2] for w in want}) == 60
 
 
@@ -87,7 +87,7 @@ def test_chain_of_copies(spark):
     want = brute(data)
     assert {w[2] for w in want} == {0}
     assert sorted(rows(op.near_duplicates(df)), key=str) == want
-    assert sorted(rows(op.near_duplicates(df, small=2, tile=3)), key=str) == want
+    assert sorted(rows(op.near_duplicates(df, small=2)), key=str) == want
 
 
 def test_pairs_at_the_threshold_share_a_table():
@@ -103,17 +103,6 @@ def test_pairs_at_the_threshold_share_a_table():
     assert met >= 399
 
 
-def test_tile_compare_equals_brute_force():
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**62, 60)
-    sets = [np.unique(np.where(rng.random(60) < rng.random() * 0.2, rng.integers(0, 2**62, 60), base)) for _ in range(40)]
-    left, right = np.arange(0, 25), np.arange(10, 40)
-    i, j = op.similar_pairs(sets, left, right, 85)
-    want = {(a, b) for a in left for b in right
-            if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
-    assert set(zip(i, j)) == want and any(a != b for a, b in want)
-
-
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert rows(op.op11_tensored_minhash(spark, str(tmp_path))) == []
