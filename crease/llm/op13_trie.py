@@ -31,7 +31,7 @@ from .common import ordered, table, written
 #: Turns of a conversation whose place another conversation takes: fewer than SHARED; ids share by hundreds.
 SHARED, HUNDRED = 6, 100
 #: Depths of a band, nodes of a shard, messages a queue holds in memory, ids in one piece of a list of members.
-BAND, SHARD, QUEUE, PIECE = 64, 4096, 100_000, 4096
+BAND, SHARD, QUEUE, PIECE = 64, 512, 100_000, 4096
 #: Bands whose running hashes are added up in one window.
 RUN = 1024
 KEY = ["depth", "a", "b"]
