@@ -103,6 +103,24 @@ def test_pairs_at_the_threshold_share_a_table():
     assert met >= 399
 
 
+def test_rarest_shingles_lose_no_pair(spark):
+    """All pairs at or above the threshold are among the candidates, with sets of any size and a coarse order."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(-2**62, 2**62, rng.integers(1, 80))
+        for _ in range(3):
+            kept = base[rng.random(len(base)) > rng.random() * 0.15]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(-2**62, 2**62, rng.integers(0, 4)), base[:1]])))
+    df = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "rep long, shingles array<long>")
+    for bits in (4, 18):
+        counts = spark.sparkContext.broadcast(op.frequencies(df, bits))
+        rare = op.rarest(df, counts, 85).selectExpr("*", "rep AS root")
+        got = {(r.a, r.b) for r in op.by_rarest(rare, 85).collect()}
+        want = {(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+        assert len(want) > 30 and want <= got
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert rows(op.op11_tensored_minhash(spark, str(tmp_path))) == []
