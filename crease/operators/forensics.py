@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Forensic rule vocabularies.
 HALLUCINATED_COLUMNS = ["TOTAL_RUNS", "BATSMAN_RUNS", "MATCH_YEAR", "WINNER_ID", "CITY_NAME", "VENUE_ID"]
-HALLUCINATED_COLUMNS_VARIANT = ["TOTAL_RUNS", "BATSMAN_RUNS", "MATCH_YEAR", "WINNER_ID", "CITY_NAME"]
+HALLUCINATED_COLUMNS_VARIANT = [c for c in HALLUCINATED_COLUMNS if c != "VENUE_ID"]
 RATE_WORDS = ["economy", "strike rate"]
 FRANCHISE_PLACES = ["delhi", "punjab", "bangalore", "hyderabad", "pune"]
 OLD_TEAM_MARKERS = ["DAREDEVILS", "KINGS XI", "BANGALORE", "CHARGERS"]

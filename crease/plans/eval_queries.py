@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators import reports as R
+from crease.operators.forensics import complexity_flags, error_labels
 from crease.sources import eval_fixtures as X
+from crease.sources.tables import table
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,26 @@ def q_complexity(spark, sf_dir):
     return R.complexity_counts(X.gold_dataset(spark, sf_dir))
 
 
+#: Parts of a statement and of a question, each there if its bit of the order key is set.
+SQL_PARTS = ["venue_id", "match_year", "D.wides = 0", "CASE WHEN 1 = 1 THEN 1 END", "'Deccan Chargers'", "over_number < 6", "SUM(x)", "a / b", "x JOIN y"]
+QUESTION_PARTS = ["Economy", "in Delhi", "death overs", "an Average", "Rising Pune stars"]
+
+
+def forensic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule on texts put together from all combinations of parts; the oracle decides by the bits, not by words."""
+    key = F.col("o_orderkey")
+    bit = lambda i: F.shiftright(key, i).bitwiseAND(F.lit(1)) == 1
+    joined = lambda parts, first: F.concat_ws(" , ", *[F.when(bit(first + i), p) for i, p in enumerate(parts)])
+    sql = F.concat(F.lit("select 1 , "), joined(SQL_PARTS, 0))
+    question = joined(QUESTION_PARTS, len(SQL_PARTS))
+    texts = table(spark, sf_dir, "orders").select(key.alias("id"), sql.alias("sql"), question.alias("q"))
+    labels = lambda variant: F.array_join(error_labels(F.col("sql"), F.col("q"), variant), "|")
+    classes = F.concat_ws("|", *[F.when(c, k) for k, c in complexity_flags(F.col("sql"), F.col("q")).items()])
+    return texts.select("id", labels(False).alias("labels"), labels(True).alias("variant_labels"), classes.alias("classes"))
+
+
 QUERIES = {
+    "forensic_rules": forensic_rules,
     "eval_item_scores": q_item_scores,
     "eval_model_summary": q_model_summary,
     "eval_language_breakdown": q_language_breakdown,
@@ -210,6 +231,17 @@ SELECT model, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest
 
 ORACLES["eval_report_lines"] = _report_sql()
 
+ORACLES["forensic_rules"] = """
+WITH b AS (SELECT o_orderkey AS id, """ + ", ".join(f"(o_orderkey >> {i}) & 1 = 1 AS b{i}" for i in range(14)) + """ FROM orders),
+f AS (SELECT *, b9 AND NOT b2 AS legal, (b10 OR b13) AND b4 AND NOT b3 AS team, b11 AND NOT b5 AS phase, b12 AND b6 AND NOT b7 AS agg FROM b),
+r AS (SELECT *, concat_ws('|', CASE WHEN legal THEN 'Legal Delivery Logic' END, CASE WHEN team THEN 'Team Entity Resolution' END,
+                          CASE WHEN phase THEN 'Phase Filtering' END, CASE WHEN agg THEN 'Incorrect Aggregation' END) AS rest FROM f)
+SELECT id, concat_ws('|', CASE WHEN b0 OR b1 THEN 'Hallucinated Schema' END, nullif(rest, '')) AS labels,
+       concat_ws('|', CASE WHEN b1 THEN 'Hallucinated Schema' END, nullif(rest, '')) AS variant_labels,
+       concat_ws('|', CASE WHEN b8 THEN 'joins' END, CASE WHEN b1 THEN 'temporal' END, CASE WHEN b3 OR b13 THEN 'franchise' END,
+                 CASE WHEN b9 OR b12 THEN 'derived' END) AS classes
+FROM r"""
+
 # Complexity classes over the gold dataset (one row per order).
 _CX_Q = f"lower({_case_text(X.QUESTIONS, 'o_orderkey')} || ' ' || {_case_text(X.QUESTIONS, 'o_orderkey')})"
 _CX_S = f"upper({_case_text(X.SQL_TEMPLATES, 'o_orderkey')})"

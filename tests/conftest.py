@@ -10,5 +10,5 @@ sys.path.insert(0, ROOT)
 @pytest.fixture(scope="session")
 def spark():
     from crease.session import get_spark
-    s = get_spark("local[4]", 8, app_name="crease-tests")
+    s = get_spark("local[4]", 4, app_name="crease-tests")
     yield s
