@@ -48,6 +48,8 @@ NAMES = set(
     "copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination "
     "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split())
+#: Fixed value: those that are no main text wherever they stand.
+ALWAYS = set("ad ads advert adverts advertisement advertising comment comments commentlist consent cookie cookies disqus gdpr login popup respond".split())
 #: Fixed value: whole names of the same.
 WHOLE_NAMES = {"byline-links", "site-header", "skip-link"}
 #: Fixed value: first and last words of names that tell a state or an arrangement, not what an element is.
@@ -64,7 +66,7 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _named_out(tag: str, names: str, in_article: bool) -> bool:
+def _named_out(tag: str, names: str, in_article: bool, listed: set[str]) -> bool:
     """Whether a class or an id names a part of the page that is no main text.
 
     A name counts by its first and its last word: ``ad-slot`` and ``left-sidebar`` do, ``no-sidebar`` and ``share-enabled`` tell a
@@ -83,7 +85,7 @@ def _named_out(tag: str, names: str, in_article: bool) -> bool:
         if words[0] in STATES or words[-1] in STATE_ENDS:
             continue
         ends = {words[0], words[-1]} - (MILD if in_article and len(words) > 1 else set())
-        out = out or bool(ends & NAMES) or name in WHOLE_NAMES
+        out = out or bool(ends & listed) or name in WHOLE_NAMES
     return out
 
 
@@ -99,8 +101,8 @@ def _whole(path: str) -> str:
 class Page:
     """The blocks of text of a page outside what is left out, and its containers by path."""
 
-    def __init__(self, html: str, by_name: bool = True):
-        self.by_name = by_name
+    def __init__(self, html: str, listed: set[str] = NAMES):
+        self.listed = listed
         #: Characters of text that names alone left out.
         self.named = 0
         self.blocks: list[str] = []
@@ -179,7 +181,7 @@ class Page:
                     or re.search(r"display\s*:\s*none", a.get("style", ""), re.I)
                     or (tag == "article" and re.search(r"(?:^|[-_\s])(?:comment|reply)", names, re.I))):
                 out = 2
-            elif not out and self.by_name and tag not in ("html", "body", "article", "main") and _named_out(tag, names, in_article):
+            elif not out and tag not in ("html", "body", "article", "main") and _named_out(tag, names, in_article, self.listed):
                 out = 1
         if tag in LEFT_OUT or (tag == "header" and not in_article):
             out = 2
@@ -239,10 +241,9 @@ class Page:
 
 
 def page_of(html: str | None) -> Page:
-    """The page; where names left out nearly all of its text, names do not count, as they mean something else there."""
+    """The page; where names left out nearly all of its text, only those of ``ALWAYS`` count, as the others mean something else there."""
     page = Page(html or "")
-    kept = sum(map(len, page.blocks))
-    return Page(html, by_name=False) if page.named > 20 * kept and not re.search("comment|repl", html, re.I) or (page.named and not kept) else page
+    return Page(html, ALWAYS) if page.named > 20 * sum(map(len, page.blocks)) else page
 
 
 def host_of(url: Column) -> Column:

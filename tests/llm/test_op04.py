@@ -40,6 +40,8 @@ def test_names_of_wrappers_and_of_parts():
               '<div class="with-footer js-menu">%s</div>', '<div id="search"><article>%s</article></div>', '<div class="sidebar">%s</div>',
               '<div class="page modal-open"><div class="main-content newsletter">%s</div></div><div class="ads">x</div>'):
         assert op.page_of(x % text).text([]) == "One two three. Four five six.", x
+    for x in ('<div class="comments">%s</div>', '<div id="cookie-consent">%s</div>', '<div class="sidebar"><div class="comment">%s</div></div>'):
+        assert op.page_of(x % text).text([]) == "", x
     for x in ('<section class="related-work">%s</section>', '<section id="search">%s</section>', '<div class="table-widget"><table><tr><td>%s</table></div>',
               '<h2 id="reply">%s</h2>', '<div class="search-results-of-the-study">%s</div>'):
         assert op.page_of("<article><h1>Head</h1><p>intro</p>" + x % "inner words" + "</article><aside>no</aside>").text([]) == "Head intro inner words", x
