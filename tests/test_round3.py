@@ -66,3 +66,15 @@ def test_batches_read_gold_entries_derived_before(spark, tables, monkeypatch):
     monkeypatch.setattr(Q, "start_incremental_evaluation", spy)
     assert Q.streamed_scores(spark, tables).count() == 160
     assert len(seen) == 2 and not any("Aggregate" in p or "Join" in p for p in seen)
+
+
+def test_text_files_are_scanned_once(spark, tmp_path):
+    """What is made of separated files reads their pieces, not the files again."""
+    from crease.operators.dataset import convert_files
+
+    for i in range(3):
+        (tmp_path / f"text-{i}.txt").write_text(f"https://example.com/live-cricket-scores/{i}\n---\nQuestion: q{i}\nSQL: s\nAnswer:\n1\n---\n\n---\nstray")
+    df = convert_files(spark, str(tmp_path))
+    assert not [x for x in plan_of(df).splitlines() if "Relation" in x and x.rstrip().endswith(" text")]
+    rows = sorted((r.file[-5], r.pos, r.chunk_class, r.context_url[-1], r.question) for r in df.collect())
+    assert rows == sorted(x for i in "012" for x in ((i, 0, "url", i, None), (i, 1, "triplet", i, f"q{i}"), (i, 3, "skipped", i, None)))
