@@ -19,6 +19,28 @@ def test_gold_and_result_files(spark, tmp_path):
     assert rows.count() == 2 and [r.file_name for r in bad.collect()] == ["final_benchmark_bad.json"]
 
 
+def test_unreadable_files_are_those_of_the_reader(spark, tmp_path, monkeypatch):
+    """Odd files, also with odd names: found by their texts first, told by Spark's reader of whole files, which reads few of the others."""
+    from crease.operators import resume as S
+    ok = b'{"id": "%d", "question": "q", "generated_column_names": ["a"], "time_taken": 1.5}'
+    odd = [b"", b" ", b"[]", b"{}", b"null", b"5", b'"x"', b"[1]", b"[null]", b"[%s" % ok, b"[%s]]" % ok, b"[%s] x" % ok, b"%s,%s" % (ok, ok), b"[[%s]]" % ok,
+           b'[{"id": {"a": 1}}]', b'[{"id": "1", "time_taken": "late"}]', b'[{"id": "1", "generated_column_names": 3}]', b'[{"id": "\xff"}]', b"\xef\xbb\xbf[%s]" % ok,
+           "[{\"id\": \"1\"}]".encode("utf-16"), b'{"id": "1"}]}', b'[{"id": "1"}]} , [', b"\n\t[%s]\n" % ok, b'[{"id": "1",}]', b"%s\n%s" % (ok, ok), b"], 5"]
+    for i, content in enumerate(odd):
+        (tmp_path / f"final_benchmark_{i} [a] %20+{{b}}.json").write_bytes(content.replace(b"%d", b"7"))
+    for i in range(60):
+        (tmp_path / f"final_benchmark_good{i}.json").write_bytes(b"[%s]" % ok)
+    records, asked = S._records, []
+    monkeypatch.setattr(S, "_records", lambda s, paths, prefix: (asked.append(paths), records(s, paths, prefix))[1])
+    _, bad = S.read_result_files(spark, str(tmp_path))
+    every = records(spark, str(tmp_path), "final_benchmark_").groupBy("file_name", "file_path").agg({S.CORRUPT: "count", "id": "count"})
+    want = {(r[0], r[1]) for r in every.collect() if r[f"count({S.CORRUPT})"] > 0 and r["count(id)"] >= 0}
+    assert {tuple(r) for r in bad.collect()} == want and 5 < len(want) < len(odd)
+    assert len(asked[-1]) <= len(odd) and not any("good" in x for x in asked[-1])
+    monkeypatch.setattr(S, "SUSPECTS", 3)
+    assert {tuple(r) for r in S.read_result_files(spark, str(tmp_path))[1].collect()} == want
+
+
 def test_sinks_round_trip(spark, tmp_path):
     from crease.operators import resume as S
     from pyspark.sql import functions as F
