@@ -108,6 +108,28 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def player_id(kind: str, key: Column) -> Column:
+    return F.concat(F.lit(kind), key.cast("string"))
+
+
+def _wicket_type() -> Column:
+    kind = F.try_element_at(F.array(*[F.lit(k) for k in WICKET_KINDS]), _pct("l_tax") + 1)
+    return F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity").cast("int") % 4 == 0), F.coalesce(kind, F.lit("hit wicket")))
+
+
+def ball_counts(qty: Column, disc: Column) -> dict[str, Column]:
+    """Runs and extras of a delivery by its whole quantity and its discount in per cent."""
+    return {"runs_scored": qty % 7, "wides": (disc == 10).cast("int"), "noballs": (disc == 9).cast("int"),
+            "byes": (disc == 8).cast("int"), "legbyes": (disc == 7).cast("int")}
+
+
+def delivery_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with no more than deliveries are made of, of any match: few bytes a row where they are shuffled."""
+    return table(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL").select(
+        F.floor(F.col("l_orderkey") / ORDERS_PER_MATCH).cast("long").alias("match_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "l_extendedprice", F.col("l_quantity").cast("int").alias("qty"), _pct("l_discount").alias("disc"), _wicket_type().alias("wicket_type"))
+
+
 def deliveries(spark: SparkSession, sf_dir: str, match_df: DataFrame | None = None) -> DataFrame:
     """Flat deliveries with the legal-ball number and a stable surrogate id."""
     li = table(spark, sf_dir, "lineitem")
@@ -115,7 +137,6 @@ def deliveries(spark: SparkSession, sf_dir: str, match_df: DataFrame | None = No
     okey = F.col("l_orderkey")
     disc = _pct("l_discount")
     qty = F.col("l_quantity").cast("int")
-    kind = F.try_element_at(F.array(*[F.lit(k) for k in WICKET_KINDS]), _pct("l_tax") + 1)
     d0 = li.select(
         F.floor(okey / ORDERS_PER_MATCH).cast("long").alias("match_id"),
         (1 + F.floor((okey % ORDERS_PER_MATCH) / OVERS_PER_INNING)).cast("int").alias("inning"),
@@ -124,13 +145,8 @@ def deliveries(spark: SparkSession, sf_dir: str, match_df: DataFrame | None = No
         F.concat(F.lit("P"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey") + 1)
                  .otherwise(F.col("l_partkey") - 1).cast("string")).alias("non_striker_id"),
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("bowler_id"),
-        (qty % 7).alias("runs_scored"),
-        (disc == 10).cast("int").alias("wides"),
-        (disc == 9).cast("int").alias("noballs"),
-        (disc == 8).cast("int").alias("byes"),
-        (disc == 7).cast("int").alias("legbyes"),
-        F.when((F.col("l_returnflag") == "R") & (qty % 4 == 0),
-               F.coalesce(kind, F.lit("hit wicket"))).alias("wicket_type"),
+        *[c.alias(name) for name, c in ball_counts(qty, disc).items()],
+        _wicket_type().alias("wicket_type"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
     )
     # Partitioning by (match_id, l_orderkey) is the same grouping as by
